@@ -28,7 +28,7 @@ BOUNDARIES = (
     (SENTENCE, r"[.!?;:][\"')\]]*\s+(?=(\S))|[。！？；](?=(.))"),
     (LINE, r"[\r\n]+[ \t]*(?=(\S))"),
     (PARAGRAPH, r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*(?=(\S))|[\r\n]\s*(?=(\[\d{3,5}\]|§|#))"),
-    (CLAIM, r"(?:^|[\r\n])[ \t]*(?=((?:claim\s+|anspruch\s+|revendication\s+)?\d{1,3}\s*[.)．、]\s*\S|【[^】\n]{1,12}\d+】|\[(?:claim|請求項)\s*\d+\]))"),
+    (CLAIM, r"(?:^|[\r\n])[ \t]*(?=((?:claim\s+|anspruch\s+|revendication\s+)?\d{1,3}\s*[.)．、]\s*\S|【[^\d】\n]{1,12}\d+】|\[(?:claim|請求項)\s*\d+\]))"),
 )
 
 

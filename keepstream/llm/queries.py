@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstream.llm import chunking, cutoff, mixing, pair_defects, percentiles, proportions, tokenizer, truncation
+from keepstream.session import durable
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 MEASURES = ("total_latency_s", "peak_memory_mb")
@@ -93,7 +94,9 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sized(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenizer.token_count(table(spark, folder, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens")
+    """The size of each document; written once, as a range sort reads its input twice."""
+    docs = tokenizer.token_count(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return durable(docs.select("doc_id", "source", "n_tokens"), "sizes")
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -76,6 +76,22 @@ def model_proto(vocabulary: bytes) -> bytes:
     return bytes(out)
 
 
+class _Words(dict):
+    """What ``find`` gives for a pre-token, kept while there is room."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str):
+        value = self.find(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Encoder:
     """Encodes and decodes with one model; lives once per Python worker."""
 
@@ -88,32 +104,21 @@ class Encoder:
         self.span = regex.compile(PATTERN).finditer
         self.table = dict(enumerate(byte_chars()))
         self.back = {c: b for b, c in self.table.items()}
-        self.cache: dict[str, list[int]] = {}
-
-    def mapped(self, word: str) -> str:
-        return word.encode().decode("latin-1").translate(self.table)
+        self.ids = _Words(self._one)
+        self.sizes = _Words(lambda w: len(self.ids[w]))
 
-    def _learn(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of words the cache lacks; those too long to keep are in the result only."""
-        new = dict(zip(words, self.model.encode([self.mapped(w) for w in words])))
-        if len(self.cache) + len(new) > CACHE_SIZE:
-            self.cache.clear()
-        self.cache.update((w, i) for w, i in new.items() if len(w) <= CACHED_CHARS)
-        return new
+    def _one(self, word: str) -> list[int]:
+        return self.model.encode(word.encode().decode("latin-1").translate(self.table))
 
     def words(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
-        known = self.cache
-        lacking = [w for w in set(words) if w not in known]
-        if lacking:
-            known = {w: i for w in set(words) if (i := known.get(w)) is not None} | self._learn(lacking)
-        return [known[w] for w in words]
+        return list(map(self.ids.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.words(self.split(text)))) if text else []
+        return list(chain.from_iterable(map(self.ids.__getitem__, self.split(text)))) if text else []
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, self.words(self.split(text)))) if text else 0
+        return sum(map(self.sizes.__getitem__, self.split(text))) if text else 0
 
     def token_bytes(self, ids: list[int]) -> list[bytes]:
         return [bytes(self.back[c] for c in self.model.id_to_piece(i)) for i in ids]

@@ -98,6 +98,6 @@ def scatter(seq: DataFrame, embeds: DataFrame, keys: list[str], order: Column, v
     return video_ordinals(seq, keys).join(numbered, [*keys, "ordinal"], "left")
 
 
-def decode_step(seq: DataFrame) -> Column:
+def decode_step(step: str = "step") -> Column:
     """Whether a step sees visual inputs: only the first of a generation does."""
-    return F.col("step") == 0
+    return F.col(step) == 0

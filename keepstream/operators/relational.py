@@ -22,7 +22,7 @@ def compare_runs(base: DataFrame, other: DataFrame, keys: list[str], order: list
 
 def numeric_order(key: Column) -> Column:
     """Sort key of an id: its number, 0 where it is none."""
-    return F.coalesce(key.try_cast("bigint"), F.lit(0))
+    return F.when(key.rlike("^[0-9]+$"), key.try_cast("bigint")).otherwise(F.lit(0))
 
 
 def ratio(a: Column, b: Column, otherwise: float) -> Column:

@@ -209,14 +209,15 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["key"]).filter(pa.array(hit))
 
 
-def latest_state(df: DataFrame, key: Column, fields: Mapping[str, Column], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the fields of the row that is last in ``order``.
+def latest_state(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per key: the fields of the row that is last in order; equal rows are told apart by their fields.
 
-    Partial aggregation comes before the shuffle, so a key that holds most rows
-    costs one row per partition. A null key is a key like any other.
+    ``rows`` has key, ord and state. Partial aggregation comes before the shuffle, so
+    a key that holds most rows costs one row per partition. A null key is a key like
+    any other.
     """
-    state = F.max_by(F.struct(*[c.alias(f) for f, c in fields.items()]), F.struct(*order))
-    return df.groupBy(key.alias("key")).agg(state.alias("state")).select("key", *[F.col(f"state.{f}").alias(f) for f in fields])
+    last = rows.groupBy("key").agg(F.max(F.struct("ord", "state")).alias("s"))
+    return last.select("key", *[F.col(f"s.state.{f}").alias(f) for f in fields])
 
 
 def differing_keys(a: DataFrame, b: DataFrame, fields: Sequence[str], bucket_rows: int = 32, bound: int = 16) -> DataFrame:
@@ -283,16 +284,21 @@ def reconcile(
     empty copy makes every key of the other one ``only_``.
     """
     k = F.col(key) if key_expr is None else key_expr
-    by = [F.col(c) for c in order]
-    sa, sb = latest_state(a, k, fields, by), latest_state(b, k, fields, by)
-    keys = durable(differing_keys(sa, sb, list(fields), bucket_rows, bound), "keys")
+    names = list(fields)
 
-    def fetch(df: DataFrame, side: str) -> DataFrame:
-        own = df.withColumn("_key", k).join(keys, F.col("_key").eqNullSafe(F.col("key")), "left_semi")
-        state = latest_state(own, F.col("_key"), fields, by)
-        return state.select(F.col("key").alias(f"key_{side}"), F.struct(*fields).alias(side))
+    def rows(df: DataFrame) -> DataFrame:
+        """Only what is compared, so that no other column can clash."""
+        state = F.struct(*[c.alias(f) for f, c in fields.items()])
+        return df.select(k.alias("key"), F.struct(*[F.col(c) for c in order]).alias("ord"), state.alias("state"))
 
-    both = fetch(a, "a").join(fetch(b, "b"), F.col("key_a").eqNullSafe(F.col("key_b")), "full_outer")
+    ra, rb = rows(a), rows(b)
+    keys = durable(differing_keys(latest_state(ra, names), latest_state(rb, names), names, bucket_rows, bound), "keys")
+
+    def fetch(own: DataFrame, side: str) -> DataFrame:
+        wanted = own.join(keys.select(F.col("key").alias("wanted")), F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
+        return latest_state(wanted, names).select(F.col("key").alias(f"key_{side}"), F.struct(*names).alias(side))
+
+    both = fetch(ra, "a").join(fetch(rb, "b"), F.col("key_a").eqNullSafe(F.col("key_b")), "full_outer")
     diffs = F.when(F.col("b").isNull(), F.array(F.lit("only_a"))).when(F.col("a").isNull(), F.array(F.lit("only_b")))
     changed = F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields])
     found = both.select(F.coalesce("key_a", "key_b").alias(key), diffs.otherwise(F.array_compact(changed)).alias("diff"))

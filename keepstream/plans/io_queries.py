@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keepstream.operators import grid, scoring, windows
+from keepstream.operators import grid, pixels, scoring, windows
 from keepstream.plans.eval_queries import samples
 from keepstream.plans.registry import Registry, table
 from keepstream.plans.selection_queries import _PRUNED, patches
@@ -155,6 +155,15 @@ def stream_prune(spark, folder):
     return out.groupBy("stream", "tier", "mode").agg(F.count(F.lit(1)).alias("cells"), F.count_if("keep").alias("kept"))
 
 
+def resized_frames(spark, folder):
+    """The embeddings as 8 x 8 grey frames, resized to 12 x 6."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 400 + 128).alias("v"))
+    return e.select("vec_id", pixels.resize(F.col("v"), (8, 8), (12, 6)).alias("pixels"))
+
+
+q.add("resized_frames", resized_frames)
+
+
 def queries():
     return q.queries
 

@@ -27,12 +27,16 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def measured(spark: SparkSession, folder: str, *more: str) -> DataFrame:
-    """One row per record of run_records, its latest delivery: method, task and the measures."""
+    """One row per record of run_records, its latest delivery: method, task and the measures.
+
+    Rows without an id are records of their own.
+    """
     r = table(spark, folder, "run_records")
-    keep = F.struct(F.col("ingested_at").alias("_at"), *[F.col(c) for c in MEASURES])
     task = F.upper(F.regexp_replace("task", r"^\s+|\s+$", "")).alias("task")
-    last = r.groupBy("record_id", "method", task, *more).agg(F.max(keep).alias("s"))
-    return last.select("method", "task", *more, *[f"s.{c}" for c in MEASURES])
+    rows = r.select("record_id", "ingested_at", "method", task, *more, *MEASURES)
+    wanted = ["method", "task", *more, *MEASURES]
+    last = rows.filter("record_id IS NOT NULL").groupBy("record_id").agg(F.max(F.struct("ingested_at", *wanted)).alias("s"))
+    return last.select(*[f"s.{c}" for c in wanted]).unionByName(rows.filter("record_id IS NULL").select(*wanted))
 
 
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _MEASURED = r"""
 WITH last AS (
   SELECT record_id, method, upper(regexp_replace(task, '^\s+|\s+$', '', 'g')) AS task, total_latency_s, peak_memory_mb,
-         row_number() OVER (PARTITION BY record_id, method, upper(regexp_replace(task, '^\s+|\s+$', '', 'g')) ORDER BY ingested_at DESC) AS rn
+         CASE WHEN record_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) END AS rn
   FROM run_records),
 long AS (
   SELECT method, task, 'total_latency_s' AS metric, total_latency_s AS v FROM last WHERE rn = 1

@@ -108,7 +108,9 @@ def differs(question: str | None, answer: str) -> bool:
     t = QUOTED.sub(" ", answer)
     by_script = script_language(t)
     if by_script:
-        return by_script[0] != q and not (by_script[0] == "zh" and q == "ja")
+        if (by_script[0], q) == ("zh", "ja"):  # a few ideographs may be either; a sentence without kana is not Japanese
+            return sum("㐀" <= c <= "鿿" for c in t) >= 10
+        return by_script[0] != q
     s = scores(t)
     if not s:
         return False

@@ -144,6 +144,12 @@ def test_defects(text, want):
     assert got == (want if text is not None else ["empty"])
 
 
+def test_ideographs_of_either_language():
+    ask = "庭師ははしごを拭いた後、何をしますか？"
+    assert pair_defects.defects(ask, None, "D. 料理人", lambda w: True) == []
+    assert pair_defects.defects(ask, None, "正确答案是A。随后厨师打开砧板并离开。", lambda w: True) == ["other_language"]
+
+
 def test_blank_question_has_no_language_and_no_copy():
     assert pair_defects.defects("", None, "正解はAです。", lambda w: True) == []
     assert pair_defects.defects(None, None, "Yes.", lambda w: True) == []

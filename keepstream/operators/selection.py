@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keepstream.config import SelectionConfig
 from keepstream.operators.grid import div
+from keepstream.operators.ranged import WINDOW_ROWS, group_rank, with_group
 
 DEFAULT = SelectionConfig()
 
@@ -99,30 +100,28 @@ def keep_masks(pruned: DataFrame, keys: list[str]) -> DataFrame:
     return pruned.groupBy(*keys, "tubelet", "tier", "mode").agg(F.transform(cells, lambda c: c["keep"]).alias("mask"))
 
 
-def rank_desc(keys: list[str], order: list[Column], name: str = "_rank"):
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias(name)
-
-
 def budget(n: Column, ratio: float) -> Column:
     return F.greatest(F.lit(1), (n * F.lit(ratio)).cast("int"))
 
 
-def top_share(patches: DataFrame, keys: list[str], ratio: float, flat: str = "flat") -> DataFrame:
+def counted() -> Column:
+    return F.count(F.lit(1)).alias("_n")
+
+
+def top_share(patches: DataFrame, keys: list[str], ratio: float, flat: str = "flat", most: int = WINDOW_ROWS) -> DataFrame:
     """The max(1, floor(n * ratio)) tokens of highest loss per stream; ties go to the lower id."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = patches.select("*", n.alias("_n"), rank_desc(keys, [F.col("loss").desc(), F.col(flat)]))
+    ranked = group_rank(with_group(patches, keys, [counted()]), keys, [F.col("loss").desc(), F.col(flat)], "_rank", most)
     return ranked.filter(F.col("_rank") <= budget(F.col("_n"), ratio)).drop("_n", "_rank")
 
 
-def above_mean(patches: DataFrame, keys: list[str], ratio: float, flat: str = "flat") -> DataFrame:
+def above_mean(patches: DataFrame, keys: list[str], ratio: float, flat: str = "flat", most: int = WINDOW_ROWS) -> DataFrame:
     """Tokens of positive z-score, the highest ones if there are more than the budget.
 
     z > 0 is loss > mean whatever the deviation, so integers decide: loss * n > sum.
     """
-    w = Window.partitionBy(*keys)
-    sums = patches.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_s", F.sum("loss").over(w))
-    high = sums.filter(F.col("loss") * F.col("_n") > F.col("_s"))
-    return high.select("*", rank_desc(keys, [F.col("loss").desc(), F.col(flat)])).filter(F.col("_rank") <= budget(F.col("_n"), ratio)).drop("_n", "_s", "_rank")
+    high = with_group(patches, keys, [counted(), F.sum("loss").alias("_s")]).filter(F.col("loss") * F.col("_n") > F.col("_s"))
+    ranked = group_rank(high, keys, [F.col("loss").desc(), F.col(flat)], "_rank", most)
+    return ranked.filter(F.col("_rank") <= budget(F.col("_n"), ratio)).drop("_n", "_s", "_rank")
 
 
 def above_quantile(patches: DataFrame, keys: list[str], ratio: float) -> DataFrame:
@@ -140,27 +139,28 @@ def cell_of(x: Column, size: int, cells: int) -> Column:
     return div((x + 1) * g - 1, size)
 
 
-def cell_coverage(patches: DataFrame, keys: list[str], side: int, ratio: float, cells: int = 4, trim: bool = False, flat: str = "flat") -> DataFrame:
+def cell_coverage(
+    patches: DataFrame, keys: list[str], side: int, ratio: float, cells: int = 4, trim: bool = False, flat: str = "flat", most: int = WINDOW_ROWS
+) -> DataFrame:
     """Top tokens with the best of each cell of each tubelet kept first.
 
     Without ``trim`` coverage may exceed the budget; with it the covered tokens are
     cut to the budget by loss.
     """
-    w = Window.partitionBy(*keys)
+    # a cell of a tubelet has (side / cells)^2 tokens, so this window is small whatever the stream
     by_cell = Window.partitionBy(*keys, "tubelet", "_ci", "_cj").orderBy(F.col("loss").desc(), F.col(flat))
-    rows = patches.withColumn("_ci", cell_of(div(F.col("idx"), side), side, cells)).withColumn("_cj", cell_of(F.col("idx") % side, side, cells))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("covered", F.row_number().over(by_cell) == 1)
-    order = [F.col("covered").desc(), F.col("loss").desc(), F.col(flat)]
-    ranked = rows.select("*", rank_desc(keys, order))
+    rows = with_group(patches, keys, [counted()])
+    rows = rows.withColumn("_ci", cell_of(div(F.col("idx"), side), side, cells)).withColumn("_cj", cell_of(F.col("idx") % side, side, cells))
+    rows = rows.withColumn("covered", F.row_number().over(by_cell) == 1)
+    ranked = group_rank(rows, keys, [F.col("covered").desc(), F.col("loss").desc(), F.col(flat)], "_rank", most)
     fits = F.col("_rank") <= budget(F.col("_n"), ratio)
     return ranked.filter(fits if trim else fits | F.col("covered")).drop("_ci", "_cj", "_n", "_rank")
 
 
-def hashed_share(patches: DataFrame, keys: list[str], ratio: float, seed: int = 0, flat: str = "flat") -> DataFrame:
+def hashed_share(patches: DataFrame, keys: list[str], ratio: float, seed: int = 0, flat: str = "flat", most: int = WINDOW_ROWS) -> DataFrame:
     """A random budget of tokens, ordered by a seeded hash of stream and id: the same on every run and cluster."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col(flat).cast("string")))
-    ranked = patches.select("*", n.alias("_n"), rank_desc(keys, [h, F.col(flat)]))
+    ranked = group_rank(with_group(patches, keys, [counted()]), keys, [h, F.col(flat)], "_rank", most)
     return ranked.filter(F.col("_rank") <= budget(F.col("_n"), ratio)).drop("_n", "_rank")
 
 
@@ -183,8 +183,7 @@ def select_by(method: str, patches: DataFrame, keys: list[str], ratio: float, se
         return hashed_share(patches, keys, ratio, seed)
     if method == "uniform":
         counts = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-        order = Window.partitionBy(*keys).orderBy("flat")
-        return patches.withColumn("_o", F.row_number().over(order) - 1).join(
+        return group_rank(patches, keys, [F.col("flat")], "_o").withColumn("_o", F.col("_o") - 1).join(
             even_share(counts, "_total", ratio).withColumnRenamed("flat", "_o").drop("_total"), [*keys, "_o"], "left_semi"
         ).drop("_o")
     if method == "scored":

@@ -543,7 +543,7 @@ def running_accuracy(spark, folder):
 
 @q(f"WITH {_PATCHES}, b AS (SELECT *, min(loss) OVER (PARTITION BY stream) AS lo, max(loss) OVER (PARTITION BY stream) AS hi FROM patches) SELECT stream, tubelet, idx, CASE WHEN hi > lo THEN CAST(trunc((loss - lo) / (hi - lo) * 255) AS INT) ELSE 0 END AS heat FROM b")
 def heat_map(spark, folder):
-    return patches(spark, folder).select("stream", "tubelet", "idx", evalkit.heat(F.col("loss"), ["stream"]).alias("heat"))
+    return evalkit.heat(patches(spark, folder), ["stream"], "loss").select("stream", "tubelet", "idx", "heat")
 
 
 # ---- joins, sets and partitioning

@@ -6,10 +6,11 @@ depend on the order in which partitions are added.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepstream.functions.prompts import BACKWARD, FORWARD, REALTIME
+from keepstream.operators.ranged import running_sum, with_group
 
 MICRO = 1e6
 CATEGORIES = {"backward": BACKWARD, "realtime": REALTIME, "forward": FORWARD}
@@ -69,12 +70,13 @@ def overall_and_groups(df: DataFrame, group: str, aggregates: list[Column]) -> D
 
 
 def running_accuracy(df: DataFrame, by: list[str], order: list[str], correct: Column, value: Column) -> DataFrame:
-    """Running share of correct answers and mean value; errors count in the denominator."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("seen", n).withColumn("accuracy", F.sum(F.coalesce(correct, F.lit(0))).over(w) / n).withColumn(
-        "mean_value", F.sum(F.coalesce(micro(value), F.lit(0))).over(w) / n / F.lit(MICRO)
-    )
+    """Running share of correct answers and mean value; errors count in the denominator.
+
+    Sums run over ranges of the order, so a group that holds most rows is spread.
+    """
+    rows = df.withColumn("_one", F.lit(1)).withColumn("_hit", F.coalesce(correct, F.lit(0)).cast("bigint")).withColumn("_v", F.coalesce(micro(value), F.lit(0)))
+    out = running_sum(rows, by, [F.col(o) for o in order], ["_one", "_hit", "_v"], ["seen", "_hits", "_sum"], "accuracy")
+    return out.withColumn("accuracy", F.col("_hits") / F.col("seen")).withColumn("mean_value", F.col("_sum") / F.col("seen") / F.lit(MICRO)).drop("_one", "_hit", "_v", "_hits", "_sum")
 
 
 def peak_stage(trace: DataFrame, by: list[str], value: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -83,11 +85,11 @@ def peak_stage(trace: DataFrame, by: list[str], value: str, order: list[str], co
     return trace.groupBy(*by).agg(F.max_by(F.struct(*columns, value), F.struct(F.col(value), *latest_first)).alias("s")).select(*by, "s.*")
 
 
-def heat(loss: Column, by: list[str]) -> Column:
-    """0 to 255 between the group's least and greatest value, cut off; 0 if they are equal."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(loss).over(w), F.max(loss).over(w)
-    return F.when(hi > lo, ((loss - lo) / (hi - lo) * 255).cast("int")).otherwise(0)
+def heat(df: DataFrame, by: list[str], value: str, out: str = "heat") -> DataFrame:
+    """``df`` plus 0 to 255 between the group's least and greatest value, cut off; 0 if they are equal."""
+    ends = with_group(df, by, [F.min(value).alias("_lo"), F.max(value).alias("_hi")])
+    scaled = ((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255).cast("int")
+    return ends.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), scaled).otherwise(0)).drop("_lo", "_hi")
 
 
 def rounded(x: Column, digits: int = 2) -> Column:

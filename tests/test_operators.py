@@ -21,6 +21,23 @@ def test_running_sum_with_a_hot_group(spark):
         assert got[i] == acc[g]
 
 
+def test_several_sums_and_ranks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(40), i, rng.randrange(9)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "g string, v int, i int, w int").repartition(5)
+    got = {r["i"]: (r["a"], r["b"]) for r in ranged.running_sum(df, ["g"], [F.col("i")], ["v", "w"], ["a", "b"]).collect()}
+    acc: dict = {}
+    for g, v, i, w in rows:
+        x, y = acc.get(g, (0, 0))
+        acc[g] = (x + v, y + w)
+        assert got[i] == acc[g]
+    order = [F.col("v").desc(), F.col("i")]
+    by_window, by_range = ({r["i"]: r["r"] for r in ranged.group_rank(df, ["g"], order, "r", most).collect()} for most in (10_000, 10))
+    assert by_window == by_range
+    top = [sorted(r["i"] for r in selection.top_share(df.withColumnRenamed("v", "loss"), ["g"], 0.1, "i", most).collect()) for most in (10_000, 10)]
+    assert top[0] == top[1] and len(top[0]) > 100
+
+
 def test_running_sum_of_nothing(spark):
     df = spark.createDataFrame([], "g string, v int")
     assert ranged.running_sum(df, ["g"], [F.col("v")], "v", "run").collect() == []

@@ -38,6 +38,17 @@ def test_terminality(spark):
     table = truncation.terminality(df)
     assert table.whole("phone") and not table.whole("the") and not table.whole("unseen")
     assert not truncation.terminality(df.limit(0)).whole("phone")
+    letters = spark.createDataFrame([("A.",), ("The answer is A.",), ("See a phone.",)] * 9, "text string")
+    assert not truncation.terminality(letters).whole("a")
+
+
+def test_a_slot_shared_with_another_word():
+    import numpy as np
+
+    total, final = np.zeros(2 * truncation.SLOTS), np.zeros(2 * truncation.SLOTS)
+    first, _ = truncation.slots("optio")
+    total[first], final[first] = 1000, 900  # another word's counts, in one table only
+    assert not truncation.TerminalityTable(total, final).whole("optio")
 
 
 def long_text(rng, n=60):

@@ -23,7 +23,7 @@ def test_whole_answers(text):
     "text",
     ["The answer is A. Then the man mov", "Then the man walks to the far end of the", "<think>\nSo it is.", "<think>\nSo it is.\n</thin", '{"answer": "A", "reason": "It is so.', "```\nA whole sentence.",
      'It is so. The sign says "EXIT', "It is seen (at 5:1", "It is A. And th…(+307)", "It is A. And th [...]", "It is A. And th…", "It is A. And th�", "It is A. And th\\", "It is A. And th\n", "It is A. And wh...",
-     "正解はAです。その後、庭師はは", "B. a red bucket on the low", "What does the driver of the van do right aft"],
+     "A,", "No, ", "A. the dog and", "正解はAです。その後、庭師はは", "B. a red bucket on the low", "What does the driver of the van do right aft"],
 )
 def test_cut_answers(text):
     assert endings.end_state(text, "a red bucket on the lower shelf\tthe dog and the cat over there", "What does the driver of the van do right after?")[0] == OPEN

@@ -13,7 +13,7 @@ OPTIONS = "the dog\ta red bucket on the lower shelf"
     "text",
     [None, "", "  ", "A", "b.", "(C)", "**D**", " B\n", "A ✅", "7", "5 times", "2 veces", "Yes", "Oui", "No!", "いいえ", "还没有", "Answer: A", "Final answer: C", "B. the dog", "the dog",
      "B. a red bucket on the lower shelf", "A whole sentence.", "Two. Sentences!", '{"answer": "A"}', '{"answer": "A", "reason": "It is so."}', "<think>\nSo it is.\n</think>\n\nB",
-     'The sign says "EXIT 4".', "正解はAです。", "null", "...", "…", "```\n```", "No, todavía no", '"KEEP DRY"', "It is seen (at 5:10)."],
+     'The sign says "EXIT 4".', "正解はAです。", "null", "...", "…", "```\n```", "No, todavía no", '"KEEP DRY"', "It is seen (at 5:10).", "<answer></answer>", "<answer>B</answer>"],
 )
 def test_whole_answers(text):
     assert endings.end_state(text, OPTIONS, "What is it?")[0] == CLOSED

@@ -115,7 +115,7 @@ SELECT t, h, w, i, i // (h * w) + 10 AS pos_t, (i % (h * w)) // w + 10 AS pos_h,
 )
 def vision_positions(spark, folder):
     g = table(spark, folder, "run_records").select(F.explode("video_grid_thw").alias("g"))
-    g = g.select(F.col("g")[0].alias("t"), grid.div(F.col("g")[1], 2).alias("h"), grid.div(F.col("g")[2], 2).alias("w")).distinct().filter("t <= 16")
+    g = g.select(F.col("g")[0].alias("t"), grid.div(F.col("g")[1], 2).alias("h"), grid.div(F.col("g")[2], 2).alias("w")).distinct()
     return positions.vision_positions(g.withColumn("start", F.lit(10))).select("t", "h", "w", "i", "pos_t", "pos_h", "pos_w")
 
 

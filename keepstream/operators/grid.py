@@ -113,10 +113,18 @@ def axis_weights(n_in: int, n_out: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def trilinear(scores: DataFrame, keys: list[str], source: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
-    """Scores resampled to a grid that doesn't divide: an eight-neighbour weighted join with three tiny axis tables."""
+def trilinear(scores: DataFrame, keys: list[str], source: tuple[int | str, int, int], target: tuple[int | Column, int, int]) -> DataFrame:
+    """Scores resampled to a grid that doesn't divide: eight weighted neighbours, by tiny tables of the fixed axes.
+
+    The streams may differ along t: ``source[0]`` then names the column of a stream's
+    length and ``target[0]`` is the Column of its length afterwards. A cell without a
+    score counts as 0; cells none of whose neighbours has one are left out.
+    """
     spark, out = scores.sparkSession, scores
     for axis, n, m in zip(("t", "h", "w"), source, target):
+        if isinstance(n, str):
+            out = _along(out, axis, F.col(n), m)
+            continue
         # bounded: at most two rows per cell of one axis
         table = F.broadcast(spark.createDataFrame(axis_weights(n, m), f"o_{axis} int, {axis} int, k_{axis} double"))
         out = out.join(table, axis)
@@ -124,6 +132,18 @@ def trilinear(scores: DataFrame, keys: list[str], source: tuple[int, int, int],
     return out.groupBy(*keys, F.col("o_t").alias("t"), F.col("o_h").alias("h"), F.col("o_w").alias("w")).agg(F.sum(F.col("score") * weight).alias("score"))
 
 
+def _along(df: DataFrame, axis: str, n: Column, m: Column) -> DataFrame:
+    """``axis_weights`` of lengths held by the rows: o and k of all cells that a row's cell reaches."""
+    def place(i: Column) -> Column:
+        return (i + 0.5) * m / n - 0.5
+
+    at = F.col(axis)
+    first, last = F.greatest(F.lit(0), F.floor(place(at - 1)).cast("int")), F.least(m.cast("int") - 1, F.ceil(place(at + 1)).cast("int"))
+    out = df.withColumn(f"o_{axis}", F.explode(F.sequence(first, last)))
+    x = F.least(F.greatest((F.col(f"o_{axis}") + 0.5) * n / m - 0.5, F.lit(0.0)), n - 1.0)
+    return out.withColumn(f"k_{axis}", 1.0 - F.abs(x - at)).filter(F.col(f"k_{axis}") > 0)
+
+
 def position_neighbours(df: DataFrame, height: str, width: str, side: int) -> DataFrame:
     """Bilinear lookup of a side x side position table: four neighbours and weights per patch."""
     rows = df.withColumn("r", F.explode(F.sequence(F.lit(0), F.col(height) - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col(width) - 1)))

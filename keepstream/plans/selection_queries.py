@@ -611,10 +611,12 @@ def mask_fallback_scores(spark, folder):
 
 
 def trilinear_scores(spark, folder):
-    """The first eight tubelets of each stream, resampled to a 6 x 10 x 14 grid."""
-    p = patches(spark, folder).filter("tubelet BETWEEN 1 AND 8")
-    s = p.select("stream", (F.col("tubelet") - 1).cast("int").alias("t"), grid.div(F.col("idx"), 16).cast("int").alias("h"), (F.col("idx") % 16).cast("int").alias("w"), F.col("loss").alias("score"))
-    return grid.trilinear(s, ["stream"], (8, 16, 16), (6, 10, 14))
+    """All tubelets of each stream, resampled to 6 steps for every 8 tubelets (rounded up) of 10 x 14 cells."""
+    frames = table(spark, folder, "loss_windows").groupBy(F.col("video_path").alias("stream")).agg(F.max("total_frames").alias("n"), F.max(F.col("target_frames")[0]).alias("last"))
+    n = frames.select("stream", F.greatest(grid.div(F.col("n") + 1, 2), grid.div(F.col("last"), 2) + 1).alias("n"))
+    p = patches(spark, folder)
+    s = p.select("stream", F.col("tubelet").cast("int").alias("t"), grid.div(F.col("idx"), 16).cast("int").alias("h"), (F.col("idx") % 16).cast("int").alias("w"), F.col("loss").alias("score"))
+    return grid.trilinear(s.join(n, "stream"), ["stream"], ("n", 16, 16), (grid.div(F.col("n") * 6 + 7, 8), 10, 14))
 
 
 q.add("trilinear_scores", trilinear_scores)

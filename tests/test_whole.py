@@ -1,11 +1,22 @@
 """Small tables on which a cut of the input would show."""
 
 from collections import Counter
+from datetime import datetime
 
-from keepstream.plans import eval_queries
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keepstream.operators import grid
+from keepstream.plans import eval_queries, selection_queries
 from tests.conftest import same_as_sql
 
 
+def write_windows(spark, folder, rows):
+    schema = "video_path string, target_frames array<int>, scored_at timestamp, window_no long, total_frames int, patch_loss_16x16 array<double>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/loss_windows.parquet")
+
+
 def test_vision_positions_of_long_grids(spark, tmp_path):
     rows = [([[3, 4, 6], [40, 4, 4]],), ([[40, 4, 4], [17, 2, 2]],), (None,)]
     spark.createDataFrame(rows, "video_grid_thw array<array<bigint>>").write.parquet(f"{tmp_path}/run_records.parquet")
@@ -20,3 +31,35 @@ def test_vision_positions_of_long_grids(spark, tmp_path):
 def test_vision_positions_equal_sql_where_it_reaches(spark, folder):
     name = "vision_positions"
     same_as_sql(spark, folder, lambda *a: eval_queries.queries()[name](*a).filter("t <= 16"), eval_queries.oracle_sql()[name])
+
+
+def weights(n, m):
+    out = np.zeros((m, n))
+    for o, i, k in grid.axis_weights(n, m):
+        out[o, i] += k
+    return out
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (2, 5), (8, 6), (9, 7), (121, 91), (130, 98), (40, 6)])
+def test_trilinear_of_a_length_held_by_rows(spark, n, m):
+    scores = np.random.default_rng(n).integers(1, 1000, (n, 2, 2))
+    rows = [("s", n, t, h, w, int(v)) for (t, h, w), v in np.ndenumerate(scores)]
+    df = spark.createDataFrame(rows, "stream string, n long, t int, h int, w int, score long")
+    got = {(r["t"], r["h"], r["w"]): r["score"] for r in grid.trilinear(df, ["stream"], ("n", 2, 2), (F.lit(m), 3, 1)).collect()}
+    want = np.einsum("at,bh,cw,thw->abc", weights(n, m), weights(2, 3), weights(2, 1), scores)
+    assert len(got) == want.size and all(abs(got[k] - v) < 1e-6 for k, v in np.ndenumerate(want))
+
+
+def test_trilinear_scores_of_whole_streams(spark, tmp_path):
+    rng, sizes = np.random.default_rng(5), {"a": 3, "b": 21, "c": 8}
+    losses = {k: rng.integers(1, 2_000_000, (n, 16, 16)) for k, n in sizes.items()}
+    at = datetime(2026, 1, 1)
+    rows = [(k, [2 * t, 2 * t + 1], at, t, 2 * n, [float(v) / 1e6 for v in losses[k][t].ravel()]) for k, n in sizes.items() for t in range(n)]
+    write_windows(spark, tmp_path, rows)
+    got = {(r["stream"], r["t"], r["h"], r["w"]): r["score"] for r in selection_queries.trilinear_scores(spark, str(tmp_path)).collect()}
+    size = 0
+    for k, n in sizes.items():
+        want = np.einsum("at,bh,cw,thw->abc", weights(n, -(-n * 6 // 8)), weights(16, 10), weights(16, 14), losses[k])
+        size += want.size
+        assert all(abs(got[k, *i] - v) < 1e-3 for i, v in np.ndenumerate(want))
+    assert len(got) == size

@@ -83,21 +83,22 @@ def adaptive_prune(patches: DataFrame, keys: list[str], n: str, cfg: SelectionCo
 
 
 def keep_stats(pruned: DataFrame, keys: list[str]) -> DataFrame:
-    """Per stream: tokens before, kept and dropped, tubelets scored and not."""
-    scored = F.col("mode").startswith("scored")
+    """Per stream: tokens before, kept and dropped, tubelets scored (in part at least) and not."""
+    scored = F.count_distinct(F.when(F.col("mode").startswith("scored"), F.col("tubelet")))
     return pruned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("original_tokens"),
         F.count_if("keep").alias("kept_tokens"),
         F.count_if(~F.col("keep")).alias("dropped_tokens"),
-        F.count_distinct(F.when(scored, F.col("tubelet"))).alias("tubelets_scored"),
-        F.count_distinct(F.when(~scored, F.col("tubelet"))).alias("tubelets_unscored"),
+        scored.alias("tubelets_scored"),
+        (F.count_distinct("tubelet") - scored).alias("tubelets_unscored"),
     )
 
 
 def keep_masks(pruned: DataFrame, keys: list[str]) -> DataFrame:
-    """Per tubelet: tier, mode and the mask, ordered by patch."""
+    """Per tubelet: tier, mode and the mask of all its patches, in order; the mode is that of its scored patches, if any."""
     cells = F.array_sort(F.collect_list(F.struct("idx", "keep")))
-    return pruned.groupBy(*keys, "tubelet", "tier", "mode").agg(F.transform(cells, lambda c: c["keep"]).alias("mask"))
+    mode = F.coalesce(F.max(F.when(F.col("mode").startswith("scored"), F.col("mode"))), F.max("mode"))
+    return pruned.groupBy(*keys, "tubelet", "tier").agg(mode.alias("mode"), F.transform(cells, lambda c: c["keep"]).alias("mask"))
 
 
 def budget(n: Column, ratio: float) -> Column:

@@ -143,7 +143,7 @@ def event_time_windows(spark, folder):
 def stream_prune(spark, folder):
     """The patches of all streams through the stateful operator, two batches per stream."""
     source, state = place(spark, "patches"), place(spark, "patches-state")
-    p = durable(patches(spark, folder).select("stream", "tubelet", F.col("idx").cast("int").alias("idx"), "loss", F.col("n_tubelets").cast("double").alias("n_tubelets")), "patches")
+    p = durable(patches(spark, folder, whole=True).select("stream", "tubelet", F.col("idx").cast("int").alias("idx"), "loss", F.col("n_tubelets").cast("double").alias("n_tubelets")), "patches")
     ends = p.groupBy("stream").agg(F.max("tubelet").alias("_end"))  # a stream's last rows say its length, which closes it
     p = p.join(ends, "stream")
     half = grid.div(F.col("_end") + 1, 2)

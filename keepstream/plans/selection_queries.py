@@ -294,16 +294,22 @@ def normalised_pixels(spark, folder):
 # ---- losses of loss_windows as patches: stream, tubelet, idx, flat, loss
 
 
-def patches(spark, folder) -> DataFrame:
+def patches(spark, folder, whole: bool = False) -> DataFrame:
+    """The patches that have a loss; ``whole`` has all 256 of each window, with a null loss where there is none."""
     w = table(spark, folder, "loss_windows")
     last = w.groupBy("video_path", "target_frames").agg(F.max(F.struct("scored_at", "window_no", "patch_loss_16x16", "total_frames")).alias("s"))
+    losses = F.col("s.patch_loss_16x16")
+    if whole:
+        known = F.coalesce(losses, F.array().cast("array<double>"))
+        losses = F.concat(known, F.array_repeat(F.lit(None).cast("double"), F.greatest(F.lit(0), 256 - F.size(known))))
     rows = last.select(
         F.col("video_path").alias("stream"),
         grid.div(F.col("target_frames")[0], 2).alias("tubelet"),
         grid.div(F.col("s.total_frames") + 1, 2).alias("n_tubelets"),
-        F.posexplode("s.patch_loss_16x16").alias("idx", "raw"),
+        F.posexplode(losses).alias("idx", "raw"),
     )
-    rows = rows.filter(F.col("raw").isNotNull() & ~F.isnan("raw"))
+    has = F.col("raw").isNotNull() & ~F.isnan("raw")
+    rows = rows.withColumn("raw", F.when(has, F.col("raw"))) if whole else rows.filter(has)
     return rows.select("stream", "tubelet", "n_tubelets", "idx", (F.col("tubelet") * 256 + F.col("idx")).alias("flat"), F.rint(F.col("raw") * 1e6).cast("bigint").alias("loss"))
 
 
@@ -428,7 +434,7 @@ def adaptive_prune_embeddings(spark, folder):
 
 
 def pruned_patches(spark, folder) -> DataFrame:
-    return selection.adaptive_prune(patches(spark, folder), ["stream"], "n_tubelets", CFG)
+    return selection.adaptive_prune(patches(spark, folder, whole=True), ["stream"], "n_tubelets", CFG)
 
 
 @q(f"{_PRUNED} SELECT stream, tubelet, tier, mode, count(*) AS cells, count_if(keep) AS kept FROM pruned GROUP BY stream, tubelet, tier, mode")

@@ -13,11 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keepstream.config import SelectionConfig
 
 OUT = "stream string, tubelet bigint, idx int, loss bigint, tier string, mode string, threshold double, keep boolean"
 STATE = "losses binary, counts binary, pending binary, tubelets bigint"
+#: Stands for a null loss between batches, where all values are 64-bit integers.
+MISSING = int(np.iinfo(np.int64).min)
 
 
 class History:
@@ -45,12 +48,16 @@ class History:
 
 
 def decide(rows: pd.DataFrame, history: History, tier: str, cfg: SelectionConfig) -> pd.DataFrame:
-    """One tubelet's rows with tier, mode, threshold and keep; the history takes them up afterwards."""
+    """One tubelet's rows with tier, mode, threshold and keep; the history takes up its losses afterwards."""
     out = rows.assign(tier=tier, threshold=np.nan)
     if tier == "bootstrap":
         return out.assign(mode="bootstrap_drop", keep=False)
     if tier == "tail":
         return out.assign(mode="protected_tail_full_keep", keep=True)
+    known = rows["loss"].to_numpy(np.int64) != MISSING
+    if not known.all():
+        unscored = out[~known].assign(mode="unscored_full_keep", keep=True)
+        return pd.concat([decide(rows[known], history, tier, cfg), unscored]) if known.any() else unscored
     q = round(1.0 - (cfg.recent_keep_ratio if tier == "recent" else cfg.keep_ratio), 10)
     losses = rows["loss"].to_numpy(np.int64)
     warm = len(history) > cfg.warmup_min
@@ -76,7 +83,8 @@ def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -
 
     A tubelet is decided as soon as its tier is sure: when ``recent_frames`` of later
     ones have come, or when the stream's length is known from a row's
-    ``n_tubelets``. Rows with a null ``n_tubelets`` belong to a stream that goes on.
+    ``n_tubelets``. Rows with a null ``n_tubelets`` belong to a stream that goes on,
+    rows without a loss stay kept as unscored, outside the tail and the first tubelet.
     A row whose tubelet was decided before comes too late and is dropped, as a row
     behind a watermark would be.
     """
@@ -90,7 +98,7 @@ def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -
         else:
             history, held, decided = History(), np.zeros((0, 3), np.int64), 0
         new = pd.concat([pd.DataFrame(held, columns=["tubelet", "idx", "loss"]), *batches], ignore_index=True)
-        new = new[new["tubelet"] >= decided].dropna(subset=["loss"])
+        new = new[new["tubelet"] >= decided]
         n = new["n_tubelets"].max() if "n_tubelets" in new else np.nan
         closed = not np.isnan(n)
         top = int(n) if closed else int(new["tubelet"].max()) + 1 if len(new) else 0
@@ -104,14 +112,13 @@ def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -
             done = pd.concat(out, ignore_index=True).assign(stream=key[0])
             yield done[["stream", "tubelet", "idx", "loss", "tier", "mode", "threshold", "keep"]].astype({"tubelet": "int64", "idx": "int32", "loss": "int64"})
 
-    narrow = patches.select("stream", "tubelet", "idx", "loss", "n_tubelets")
-    return narrow.groupBy("stream").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    narrow = patches.select("stream", "tubelet", "idx", F.coalesce("loss", F.lit(MISSING)).alias("loss"), "n_tubelets")
+    out = narrow.groupBy("stream").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    return out.withColumn("loss", F.nullif("loss", F.lit(MISSING)))
 
 
 def event_windows(events: DataFrame, time: str, late: str, length: str, group: str, value: str) -> DataFrame:
     """Tumbling event-time counts and sums per group; rows later than ``late`` are left out by the watermark."""
-    from pyspark.sql import functions as F
-
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     by = timed.groupBy(F.window(time, length).alias("w"), group)
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select("w.start", "w.end", group, "n", "total")

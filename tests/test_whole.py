@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keepstream.config import SelectionConfig
 from keepstream.operators import grid
-from keepstream.plans import eval_queries, selection_queries
+from keepstream.plans import eval_queries, io_queries, selection_queries
 from tests.conftest import same_as_sql
+from tests.test_operators import interpreted
 
 
 def write_windows(spark, folder, rows):
@@ -63,3 +65,54 @@ def test_trilinear_scores_of_whole_streams(spark, tmp_path):
         size += want.size
         assert all(abs(got[k, *i] - v) < 1e-3 for i, v in np.ndenumerate(want))
     assert len(got) == size
+
+
+@pytest.fixture(scope="module")
+def gaps(spark, tmp_path_factory):
+    """A folder with two streams of 24 tubelets, some of whose losses are null or NaN, arrays short, empty or null; and the known losses."""
+    folder, rng, rows, known = str(tmp_path_factory.mktemp("gaps")), np.random.default_rng(9), [], {"a": [], "b": []}
+    for s, t in ((s, t) for s in known for t in range(24)):
+        losses = [int(v) / 1e6 for v in rng.integers(1, 2_000_000, 256)]
+        if s == "a":
+            if t % 4 == 1:
+                losses[3], losses[200] = None, float("nan")
+            losses = {0: None, 5: losses[:7], 12: None, 18: [], 23: None}.get(t, losses)
+        known[s] += [(t, i, round(v * 1e6)) for i, v in enumerate(losses or []) if v is not None and v == v]
+        rows.append((s, [2 * t, 2 * t + 1], datetime(2026, 1, 1), t, 48, losses))
+    write_windows(spark, folder, rows)
+    return folder, known
+
+
+def test_patches_without_a_loss_stay_in_the_masks(spark, gaps):
+    folder, known = gaps
+    masks = {(r["stream"], r["tubelet"]): r for r in selection_queries.keep_masks(spark, folder).collect()}
+    assert len(masks) == 48
+    for s in known:
+        want = interpreted(known[s], 24, SelectionConfig())
+        for t in range(24):
+            assert masks[s, t]["mask"] == "".join("1" if want.get((t, i), t > 0) else "0" for i in range(256))
+    modes = {t: masks["a", t]["mode"] for t in (0, 5, 12, 18, 23)}
+    assert modes == {0: "bootstrap_drop", 5: masks["b", 5]["mode"], 12: "unscored_full_keep", 18: "unscored_full_keep", 23: "protected_tail_full_keep"}
+
+
+def test_patches_without_a_loss_count_as_tokens(spark, gaps):
+    folder, known = gaps
+    stats = {r["stream"]: r for r in selection_queries.keep_stats(spark, folder).collect()}
+    for s in known:
+        want = interpreted(known[s], 24, SelectionConfig())
+        kept = sum(want.get((t, i), t > 0) for t in range(24) for i in range(256))
+        assert stats[s]["original_tokens"] == 24 * 256 and stats[s]["kept_tokens"] == kept
+        assert stats[s]["tubelets_scored"] + stats[s]["tubelets_unscored"] == 24
+    assert stats["a"]["tubelets_unscored"] - stats["b"]["tubelets_unscored"] == 2
+    total = sum(r["kept_tokens"] for r in stats.values())
+    assert eval_queries.compact_memory(spark, folder).count() == total
+    frames = eval_queries.mask_to_frames(spark, folder)
+    assert frames.count() == 96 and frames.agg(F.sum("kept")).first()[0] == 2 * total
+    scored = selection_queries.patches(spark, folder)
+    assert scored.count() == sum(map(len, known.values())) and scored.filter("loss IS NULL").isEmpty()
+
+
+def test_stream_keeps_patches_without_a_loss(spark, gaps):
+    batch = selection_queries.adaptive_prune_patches(spark, gaps[0]).groupBy("stream", "tier", "mode").agg(F.sum("cells").alias("cells"), F.sum("kept").alias("kept"))
+    got = Counter(tuple(r) for r in io_queries.stream_prune(spark, gaps[0]).collect())
+    assert got == Counter(tuple(r) for r in batch.collect()) and sum(r[3] for r in got) == 48 * 256

@@ -50,11 +50,11 @@ REFUSALS = re.compile(
 )
 #: Stems of which every refusal phrase has one: a cheap test before the patterns.
 STEMS = (
-    "can't", "cannot", "can not", "unable", "not able", "declin", "won't", "will not", "to pass", "refuse", "comfortable", "regret", "outside", "against",
-    "guidelines", "policies", "policy", "rules prevent", "permitted", "allowed", "discussed", "no answer", "inappropriate", "unanswered", "denied", "blocked",
+    "can't", "cannot", "can not", "unable", "not able", "declin", "déclin", "won't", "will not", "pass", "refuse", "comfortable", "regret", "outside", "against",
+    "guidelines", "policies", "policy", "instructions", "rules", "permitted", "allowed", "discussed", "no answer", "inappropriate", "unanswered", "denied", "blocked",
     "rejected", "ne peu", "ne suis", "ne puis", "ne veux", "ne souhaite", "préfère", "refus", "impossible", "interdit", "autoris", "désol", "mesure", "puedo",
     "podemos", "posible", "autoriz", "permi", "debo", "voy a", "lo siento", "niego", "prefiero", "rechaz", "mis ", "deniega", "posso", "possível", "consigo",
-    "devo", "vou", "desculp", "lamento", "sinto", "recuso", "prefiro", "minhas ", "nicht", "leider", "leid", "keine", "nichts", "untersagt", "abgelehnt", "lehne",
+    "devo", "vou", "desculp", "lamento", "sinto", "recuso", "prefiro", "minhas ", "nicht", "leider", "leid", "kein", "nichts", "untersagt", "abgelehnt", "lehne",
     "verweig", "申し訳", "できません", "お答え", "お断り", "控え", "かね", "许可", "無法", "无法", "不能", "不便", "拒绝", "抱歉", "恕", "不予", "不允许", "죄송", "없습", "не могу", "извините",
 )
 #: A label before a repeated question, such as "Question:" or "You asked:".
@@ -62,6 +62,7 @@ ASKED = re.compile(r"^\W*(?:[^\W\d_]+[ \t]*){0,3}[:：]\W*")
 #: How a list of options is headed.
 LISTED = frozenset(norm(w) for w in "options option choices answers opciones optionen opções réponses 选项 選択肢 選項".split())
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
+SPACES = re.compile(r"\s{2,}|[^\S ]")
 HINT = re.compile(r"(?:respond|answer|reply|choose|select|pick|give|return|output)\b[^.?!\n]*(?:letter|option|number|yes|no|only|choice|word)[^.?!\n]*[.?!:]?", re.I)
 MARKUP = re.compile(r"```\w*|</?\w+/?>|[*_`#>~|]+")
 REASON = re.compile(r"<think>.*?</think>", re.S)
@@ -110,11 +111,16 @@ def copies(question: str | None, options: str | None, said: str) -> bool:
     return all(len(w) <= 1 or w[:-1] in LISTED or w in LISTED for w in left.split("\x00"))
 
 
+def has_stem(low: str) -> bool:
+    spaced = SPACES.sub(" ", low)
+    return any(stem in spaced for stem in STEMS)
+
+
 def refuses(said: str) -> bool:
     low = said.lower().replace("’", "'")
-    if not any(stem in low for stem in STEMS):
+    if not has_stem(low):
         return False
-    return any(REFUSALS.search(s) for s in SENTENCES.split(low) if any(stem in s for stem in STEMS))
+    return any(REFUSALS.search(s) for s in SENTENCES.split(low) if has_stem(s))
 
 
 def bare(said: str) -> bool:

@@ -83,14 +83,32 @@ def adaptive_prune(patches: DataFrame, keys: list[str], n: str, cfg: SelectionCo
 
 
 def keep_stats(pruned: DataFrame, keys: list[str]) -> DataFrame:
-    """Per stream: tokens before, kept and dropped, tubelets scored (in part at least) and not."""
-    scored = F.count_distinct(F.when(F.col("mode").startswith("scored"), F.col("tubelet")))
-    return pruned.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("original_tokens"),
-        F.count_if("keep").alias("kept_tokens"),
-        F.count_if(~F.col("keep")).alias("dropped_tokens"),
-        scored.alias("tubelets_scored"),
-        (F.count_distinct("tubelet") - scored).alias("tubelets_unscored"),
+    """Per stream: tokens before, kept and dropped, the ratio kept, tubelets scored (in part at least) and not, and the tubelets of each tier.
+
+    The lists hold a stream's own tubelets, which its video bounds; they are made of
+    one row per tubelet, not of its patches.
+    """
+    scored = F.col("mode").startswith("scored")
+    each = pruned.groupBy(*keys, "tubelet", "tier").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("keep").alias("_k"), F.max(scored).alias("_s")
+    )
+
+    def listed(condition: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(condition, F.col("tubelet"))))
+
+    kept, total = F.sum("_k"), F.sum("_n")
+    tubelets, known = F.count_distinct("tubelet"), F.count_distinct(F.when(F.col("_s"), F.col("tubelet")))
+    return each.groupBy(*keys).agg(
+        total.alias("original_tokens"),
+        kept.alias("kept_tokens"),
+        (total - kept).alias("dropped_tokens"),
+        (kept / total).alias("keep_ratio_actual"),
+        known.alias("tubelets_scored"),
+        (tubelets - known).alias("tubelets_unscored"),
+        listed(F.col("_s")).alias("scored"),
+        listed(F.col("tier") == "bootstrap").alias("dropped_bootstrap"),
+        listed(F.col("tier") == "tail").alias("full_keep_tail"),
+        listed(F.col("tier") == "recent").alias("recent"),
     )
 
 

@@ -111,7 +111,7 @@ def placeholder_scatter(spark, folder):
 
 @q(
     """WITH g AS (SELECT DISTINCT g[1] AS t, g[2] // 2 AS h, g[3] // 2 AS w FROM (SELECT unnest(video_grid_thw) AS g FROM run_records))
-SELECT t, h, w, i, i // (h * w) + 10 AS pos_t, (i % (h * w)) // w + 10 AS pos_h, i % w + 10 AS pos_w FROM (SELECT *, unnest(range(t * h * w)) AS i FROM g WHERE t <= 16)"""
+SELECT t, h, w, i, i // (h * w) + 10 AS pos_t, (i % (h * w)) // w + 10 AS pos_h, i % w + 10 AS pos_w FROM (SELECT *, unnest(range(t * h * w)) AS i FROM g)"""
 )
 def vision_positions(spark, folder):
     g = table(spark, folder, "run_records").select(F.explode("video_grid_thw").alias("g"))

@@ -320,6 +320,14 @@ numbered AS (SELECT stream, tubelet, n_tubelets, l, unnest(range(1, len(l) + 1))
 patches AS (
   SELECT stream, tubelet, n_tubelets, i - 1 AS idx, tubelet * 256 + i - 1 AS flat, CAST(round_even(l[i] * 1e6, 0) AS BIGINT) AS loss
   FROM numbered WHERE l[i] IS NOT NULL AND NOT isnan(l[i]))"""
+#: As ``_PATCHES``, with all 256 cells of each window and a null loss where there is none.
+_WHOLE = """once AS (
+  SELECT video_path AS stream, target_frames[1] // 2 AS tubelet, (total_frames + 1) // 2 AS n_tubelets, patch_loss_16x16 AS l,
+         row_number() OVER (PARTITION BY video_path, target_frames ORDER BY scored_at DESC NULLS LAST, window_no DESC NULLS LAST) AS rn FROM loss_windows),
+numbered AS (SELECT stream, tubelet, n_tubelets, l, unnest(range(1, greatest(256, coalesce(len(l), 0)) + 1)) AS i FROM once WHERE rn = 1),
+patches AS (
+  SELECT stream, tubelet, n_tubelets, i - 1 AS idx, tubelet * 256 + i - 1 AS flat,
+         CASE WHEN l[i] IS NOT NULL AND NOT isnan(l[i]) THEN CAST(round_even(l[i] * 1e6, 0) AS BIGINT) END AS loss FROM numbered)"""
 _TIER = {
     "plugin": "CASE WHEN {t} >= {n} - 2 THEN 'tail' WHEN {t} = 0 THEN 'bootstrap' WHEN {t} >= {n} - 16 THEN 'recent' ELSE 'old' END",
     "compact": "CASE WHEN {t} = 0 THEN 'bootstrap' WHEN {t} >= {n} - 2 THEN 'tail' WHEN {t} >= {n} - 16 THEN 'recent' ELSE 'old' END",
@@ -425,7 +433,7 @@ pruned AS (
 
 
 _PRUNED_EMB = f"""{_CONTEXT}, sized AS (SELECT *, max(tubelet) OVER (PARTITION BY label) + 1 AS n_tubelets FROM losses), {_prune_sql("sized", "label", "patch")}"""
-_PRUNED = f"WITH {_PATCHES}, {_prune_sql('patches', 'stream', 'idx')}"
+_PRUNED = f"WITH {_WHOLE}, {_prune_sql('patches', 'stream', 'idx')}"
 
 
 @q(f"{_PRUNED_EMB} SELECT label, mode, count(*) AS cells, count_if(keep) AS kept FROM pruned GROUP BY label, mode")
@@ -442,16 +450,31 @@ def adaptive_prune_patches(spark, folder):
     return pruned_patches(spark, folder).groupBy("stream", "tubelet", "tier", "mode").agg(F.count(F.lit(1)).alias("cells"), F.count_if("keep").alias("kept"))
 
 
+_LISTS = {
+    "scored": "starts_with(mode, 'scored')",
+    "dropped_bootstrap": "tier = 'bootstrap'",
+    "full_keep_tail": "tier = 'tail'",
+    "recent": "tier = 'recent'",
+}
+
+
 @q(
     f"""{_PRUNED} SELECT stream, count(*) AS original_tokens, count_if(keep) AS kept_tokens, count_if(NOT keep) AS dropped_tokens,
-       count(DISTINCT CASE WHEN starts_with(mode, 'scored') THEN tubelet END) AS tubelets_scored, count(DISTINCT CASE WHEN NOT starts_with(mode, 'scored') THEN tubelet END) AS tubelets_unscored
+       count_if(keep) / count(*) AS keep_ratio_actual,
+       count(DISTINCT CASE WHEN starts_with(mode, 'scored') THEN tubelet END) AS tubelets_scored,
+       count(DISTINCT tubelet) - count(DISTINCT CASE WHEN starts_with(mode, 'scored') THEN tubelet END) AS tubelets_unscored,
+       {', '.join(f"coalesce(array_to_string(list_sort(list(DISTINCT tubelet) FILTER (WHERE {c})), ','), '') AS {n}" for n, c in _LISTS.items())}
 FROM pruned GROUP BY stream"""
 )
 def keep_stats(spark, folder):
-    return selection.keep_stats(pruned_patches(spark, folder), ["stream"])
+    s = selection.keep_stats(pruned_patches(spark, folder), ["stream"])
+    return s.select(*[c for c in s.columns if c not in _LISTS], *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in _LISTS])
 
 
-@q(f"{_PRUNED} SELECT stream, tubelet, tier, mode, string_agg(CASE WHEN keep THEN '1' ELSE '0' END, '' ORDER BY idx) AS mask FROM pruned GROUP BY stream, tubelet, tier, mode")
+@q(
+    f"""{_PRUNED} SELECT stream, tubelet, tier, coalesce(max(CASE WHEN starts_with(mode, 'scored') THEN mode END), max(mode)) AS mode,
+       string_agg(CASE WHEN keep THEN '1' ELSE '0' END, '' ORDER BY idx) AS mask FROM pruned GROUP BY stream, tubelet, tier"""
+)
 def keep_masks(spark, folder):
     m = selection.keep_masks(pruned_patches(spark, folder), ["stream"])
     return m.withColumn("mask", F.array_join(F.transform("mask", lambda k: F.when(k, "1").otherwise("0")), ""))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from keepstream.config import SelectionConfig
 from keepstream.operators import grid
 from keepstream.plans import eval_queries, io_queries, selection_queries
-from tests.conftest import same_as_sql
 from tests.test_operators import interpreted
 
 
@@ -30,11 +29,6 @@ def test_vision_positions_of_long_grids(spark, tmp_path):
     assert got == want
 
 
-def test_vision_positions_equal_sql_where_it_reaches(spark, folder):
-    name = "vision_positions"
-    same_as_sql(spark, folder, lambda *a: eval_queries.queries()[name](*a).filter("t <= 16"), eval_queries.oracle_sql()[name])
-
-
 def weights(n, m):
     out = np.zeros((m, n))
     for o, i, k in grid.axis_weights(n, m):

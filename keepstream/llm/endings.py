@@ -8,12 +8,14 @@ import re
 import unicodedata
 
 CLOSED, OPEN, UNSURE = 0, 1, 2
+#: Why a text is closed: it is a whole answer in itself, which a longer copy cannot open again.
+ANSWER = "answer"
 
-#: Words for yes, no and their short additions.
+#: Words for yes, no and their short additions.
 YES_NO = frozenset(
     "yes no yep nope true false sí si oui non ja nein sim não nao はい いいえ 是 是的 不是 否 对 不 没有 有 네 아니요 да нет sì 还没有 まだです まだ".split()
 ) | frozenset(("notyet", "stillnot", "notodavíano", "todavíano", "noaúnno", "aúnno", "neinnochnicht", "nochnicht", "nonpasencore", "pasencore", "nãoaindanão", "aindanão"))
-#: Texts that stand for no value.
+#: Texts that stand for no value.
 NO_VALUE = frozenset("null none nan n/a na nil undefined unknown error empty no_answer".split())
 
 TERMINAL = ".!?。！？．…؟।"
@@ -102,6 +104,22 @@ def json_values(text: str) -> tuple[bool, str] | None:
     return True, "\n".join(out)
 
 
+def open_quote(text: str) -> bool:
+    """Whether a straight double quote is left open; one after a digit with none open is a sign for inches."""
+    inside, at = False, text.find('"')
+    while at >= 0:
+        if inside or not (at and text[at - 1].isdigit()):
+            inside = not inside
+        at = text.find('"', at + 1)
+    return inside
+
+
+def cut_in_word(own: list[str], other: list[str]) -> bool:
+    """Whether words break off within a word of another wording that starts alike."""
+    n = len(own)
+    return 0 < n <= len(other) and own[:-1] == other[: n - 1] and own[-1] != other[n - 1] and other[n - 1].startswith(own[-1])
+
+
 def unclosed(text: str) -> bool:
     """A tag, a fence, an object, a quotation, a bracket or an emphasis that was opened and not closed."""
     if HALF_TAG.search(text) or text.count("```") % 2:
@@ -118,15 +136,19 @@ def unclosed(text: str) -> bool:
     j = json_values(body)
     if j is not None:
         return not j[0]
-    if body.count('"') % 2 or body.count("**") % 2 or body.count("“") > body.count("”") or body.count("「") > body.count("」"):
+    if open_quote(body) or body.count("**") % 2 or body.count("“") > body.count("”") or body.count("「") > body.count("」"):
         return True
     return body.rfind("(") > body.rfind(")") or body.rfind("（") > max(body.rfind("）"), body.rfind(")"))
 
 
 def end_state(text: str | None, options: str | None = None, question: str | None = None) -> tuple[int, str]:
-    """The state of a text's end, and its closing word where the state is unsure.
+    """The state of a text's end, with its last wording where the form leaves the state open, or ``ANSWER``.
 
-    Null and blank texts are closed: nothing was cut from them.
+    Null and blank texts are closed: nothing was cut from them. A stop, a letter, a
+    number, a whole option or question closes a text; an open part, a comma, an
+    option's or the question's wording broken off, or a sentence without a stop after
+    others that have one leave it open. Length decides nothing: any other wording
+    without a stop is unsure.
     """
     if text is None or not norm(after_thinking(text)) and "<think>" not in text and not HALF_TAG.search(text.strip()):
         return CLOSED, ""
@@ -139,7 +161,7 @@ def end_state(text: str | None, options: str | None = None, question: str | None
     body = TAG.sub("", after_thinking(t)).strip()  # all tags are closed by here, and their names are no wording
     j = json_values(body)
     if j is not None:
-        return CLOSED, ""
+        return CLOSED, ANSWER
     core = body.rstrip(CLOSERS)
     if not norm(core):
         return CLOSED, ""
@@ -148,34 +170,34 @@ def end_state(text: str | None, options: str | None = None, question: str | None
     if core[-1] in ",，、":
         return OPEN, ""
     if LETTER.match(body) or NUMBER.match(body):
-        return CLOSED, ""
+        return CLOSED, ANSWER
     said = norm(body)
     if body[0] in "\"“「«" and body[-1] in "\"”」»":
         return CLOSED, ""
     if said in YES_NO or said in NO_VALUE:
-        return CLOSED, ""
+        return CLOSED, ANSWER
     opts = option_texts(options)
+    unlabelled = LABEL.sub("", body, 1)
     if opts:
-        wording = norm(LABEL.sub("", body, 1))
+        wording = norm(unlabelled)
         if any(wording == norm(o) or said == norm(o) for o in opts):
-            return CLOSED, ""
-        if LABEL.match(body) and len(wording) > 2 and any(norm(o).startswith(wording) for o in opts):
+            return CLOSED, ANSWER
+        if unlabelled != body and wording and not wording.isdigit() and any(norm(o).startswith(wording) for o in opts):
             return OPEN, ""  # a part of an option's wording
+        own = WORD.findall(unlabelled.casefold())
+        if any(cut_in_word(own, WORD.findall(o.casefold())) for o in opts):
+            return OPEN, ""
         if body[-1] == ";" and said.endswith(norm(opts[-1])):  # the whole list of options
-            return CLOSED, ""
+            return CLOSED, ANSWER
     asked = normed(question)
     if asked and said.startswith(asked):
         rest = said[len(asked) :]
         if not rest or rest == asked or len(opts) > 1 and all(norm(o) in rest for o in opts) and rest.endswith(norm(opts[-1])):
-            return CLOSED, ""
-    if asked and asked.startswith(said) and len(said) > 12:
+            return CLOSED, ANSWER
+    if asked and asked.startswith(said) and cut_in_word(WORD.findall(body.casefold()), WORD.findall(question.casefold())):
         return OPEN, ""
     if question and (q := question.strip()) and body.startswith(q) and body[len(q) :].strip():
         return end_state(body[len(q) :].strip(), options)  # a question said again before the answer
-    if SENTENCE_END.search(LABEL.sub("", body, 1)):
-        return OPEN, ""
-    words = WORD.findall(body)
-    cjk = sum("぀" <= c <= "鿿" or "가" <= c <= "힯" for c in body)
-    if len(words) > 4 or cjk > 6:
+    if SENTENCE_END.search(unlabelled):
         return OPEN, ""
-    return UNSURE, words[-1].lower() if words else ""
+    return UNSURE, unlabelled

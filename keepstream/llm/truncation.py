@@ -1,18 +1,19 @@
 """Text values that were cut off.
 
-Near-copies are found by min-hash banding over shingles of five words; in a
-verified pair (similarity of 0.8 or more) the copy whose alignment with the other
-ends early is the cut one. A record without such a copy is scored by its end: an
-open part or sentence is a cut, and where the form leaves it open, the closing
-word decides by its terminality, the part of its occurrences in the whole corpus
-that end a sentence.
+Near-copies are found by min-hash banding over shingles of five words. In a verified
+pair (similarity of 0.8 or more) the copy whose alignment with the other ends early,
+within a word or a sentence, is the cut one, whatever its own form, unless it ends in
+a whole answer (a letter, a number, an option), to which the other merely adds. A record
+without such a copy is scored by its end: an open part or sentence is a cut, and
+where the form leaves it open, the closing word decides by its terminality, the part
+of its occurrences in the whole corpus that end a sentence.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,66 +21,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepstream.llm.endings import DEBRIS, OPEN, UNSURE, end_state
+from keepstream.llm.endings import ANSWER, CLOSED, DEBRIS, OPEN, UNSURE, end_state
 from keepstream.session import durable
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 5 bands of 3 rows find a pair of similarity 0.8 with probability 0.97.
 BANDS, ROWS = 5, 3
-#: Slots of each of the two terminality tables: a fixed size, so that they may be broadcast whatever the corpus.
-SLOTS = 1 << 16
+#: The word from which each band's bucket is sorted: copies that differ before it still come to lie together.
+STARTS = (0, 4, 0, 8, 16)
+#: Neighbours on either side that a text is aligned with, besides all texts that continue it word for word.
+NEAR = 4
+#: Words before the last one by which the end of a text is placed in its copy.
+ANCHOR = 4
+#: Slots of each of the two terminality tables: a fixed size, so that they may be broadcast whatever the corpus. A word's
+#: occurrences are overstated by those of the words that share both its slots: of a corpus of n words by more than
+#: 4 n / SLOTS with a probability below 1/16 (a count-min table of two rows).
+SLOTS = 1 << 17
 #: A closing word that ends sentences less often than this leaves its sentence unfinished. Set by hand, not fitted:
 #: no labels are at hand. In the test tables function words score 0 and nouns about 0.23.
 LEAST_TERMINALITY = 0.04
+#: A word seen this often, of whose occurrences no larger part lies in wordings without a stop, is a sentence's, not a phrase's.
+CLAUSE_SEEN, CLAUSE_LOOSE = 20, 0.1
+#: Verbs and conjunctions that make a wording a sentence; they count where the corpus says too little of a word.
+CLAUSE_WORDS = frozenset(
+    "is are was were am has have had do does did will would can could should may might must because although while when if until "
+    "es son está están era eran fue hay porque aunque cuando mientras est sont était étaient parce quand lorsque ist sind war waren wird würde weil dass wenn "
+    "é são estão foi quando sono perché zijn omdat wanneer は が 是".split()
+)
 
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 STOPS = re.compile(r"[.!?。！？][\"'”’)\]*}]*$")
-MIXED = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W぀-ヿ㐀-鿿가-힯]+")
+#: Blank-separated words; each ideograph and kana is a word, with the marks after it.
+PIECES = re.compile(r"[぀-ヿ㐀-鿿가-힯][^\w\s]*|[^\s぀-ヿ㐀-鿿가-힯]+")
 
 
 def words(text: str) -> list[str]:
-    """Blank-separated words; of a text in other scripts its runs, each ideograph and kana a word."""
-    return text.split() if text.isascii() else MIXED.findall(text)
+    """The words of a text with the marks on them."""
+    return text.split() if text.isascii() else PIECES.findall(text)
 
 
 def slots(word: str) -> tuple[int, int]:
     """A word's place in each of two tables, from different bits of its hash."""
     h = zlib.crc32(word.encode())
-    return h & (SLOTS - 1), SLOTS + (h >> 16)
+    return h & (SLOTS - 1), SLOTS + (h >> 15)
 
 
 class TerminalityTable:
-    """How often the words of each slot occur and how often they end a sentence."""
+    """How often the words of each slot occur, end a sentence, and lie in a wording without a stop."""
 
-    def __init__(self, total: np.ndarray, final: np.ndarray):
-        self.total, self.final = total, final
+    def __init__(self, total: np.ndarray, final: np.ndarray, loose: np.ndarray | None = None):
+        self.total, self.final, self.loose = total, final, np.zeros_like(total) if loose is None else loose
+        first = total[:SLOTS]
+        # words seen once stand for words not seen: where they abound, an unknown closing word is no sign of a cut
+        self.unseen = float((first == 1).sum()) / max(1.0, float(first.sum()))
+
+    def place(self, word: str) -> int:
+        """The slot with fewer occurrences: two words rarely meet in both tables."""
+        return min(slots(word), key=self.total.__getitem__)
 
     def score(self, word: str) -> float:
-        """From the slot with fewer occurrences: two words rarely meet in both tables."""
-        s = min(slots(word), key=self.total.__getitem__)
-        return float(self.final[s] / (self.total[s] + 1.0))
+        s = self.place(word)
+        return float((self.final[s] + self.unseen / 2) / (self.total[s] + 1.0))
+
+    def in_clauses(self, word: str) -> bool:
+        s = self.place(word)
+        return bool(self.loose[s] <= CLAUSE_LOOSE * self.total[s]) if self.total[s] >= CLAUSE_SEEN else word in CLAUSE_WORDS
 
-    def whole(self, word: str) -> bool:
-        return self.score(word) >= LEAST_TERMINALITY
+    def whole(self, wording: str) -> bool:
+        """Whether a wording without a stop may end here: a phrase, not a sentence, with a word that ends sentences."""
+        said = [w for t in words(wording) if (w := EDGE.sub("", t).lower())]
+        return not said or self.score(said[-1]) >= LEAST_TERMINALITY and not (len(said) > 1 and any(map(self.in_clauses, said)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, final = np.zeros(2 * SLOTS, np.int64), np.zeros(2 * SLOTS, np.int64)
+    total, final, loose = (np.zeros(2 * SLOTS, np.int64) for _ in range(3))
     for b in batches:
         seen: Counter[str] = Counter()
+        ending: Counter[str] = Counter()
         for t in b.column(0):
             if (v := t.as_py()) is not None:
-                seen.update(v.split())
-        for token, n in seen.items():
-            word = EDGE.sub("", token)
-            if not word or len(word) == 1 and word.isupper():
-                continue  # a single capital is an option's letter, not the article or pronoun
-            for s in slots(word.lower()):
-                total[s] += n
-                if STOPS.search(token):
-                    final[s] += n
+                tokens = words(v)
+                seen.update(tokens)
+                for token in reversed(tokens):  # what follows the last stop
+                    if STOPS.search(token):
+                        break
+                    ending[token] += 1
+        for counts, into in ((seen, total), (ending, loose)):
+            for token, n in counts.items():
+                word = EDGE.sub("", token)
+                if not word or len(word) == 1 and word.isupper():
+                    continue  # a single capital is an option's letter, not the article or pronoun
+                for s in slots(word.lower()):
+                    into[s] += n
+                    if into is total and STOPS.search(token):
+                        final[s] += n
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(final[at])], names=["slot", "total", "final"])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (total, final, loose))], names=["slot", "total", "final", "loose"])
 
 
 def terminality(texts: DataFrame) -> TerminalityTable:
@@ -88,11 +125,14 @@ def terminality(texts: DataFrame) -> TerminalityTable:
     Each partition sends one row per used slot, and the result has 2 * ``SLOTS`` rows
     at most, whatever the size of the corpus.
     """
-    partial = texts.mapInArrow(_count, "slot int, total bigint, final bigint")
-    rows = partial.groupBy("slot").agg(F.sum("total").alias("total"), F.sum("final").alias("final")).toPandas()
-    total, final = np.zeros(2 * SLOTS), np.zeros(2 * SLOTS)
-    total[rows["slot"]], final[rows["slot"]] = rows["total"], rows["final"]
-    return TerminalityTable(total, final)
+    partial = texts.mapInArrow(_count, "slot int, total bigint, final bigint, loose bigint")
+    rows = partial.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("total", "final", "loose")]).toPandas()
+    out = []
+    for c in ("total", "final", "loose"):
+        x = np.zeros(2 * SLOTS)
+        x[rows["slot"]] = rows[c]
+        out.append(x)
+    return TerminalityTable(*out)
 
 
 _IDS: dict[str, int] = {}
@@ -150,79 +190,223 @@ def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return which, keys
 
 
+class Copy:
+    """A text as its bucket's order and the alignment see it."""
+
+    def __init__(self, h: int, text: str):
+        self.h, self.text, self.early = h, text, False
+        self.raw = words(DEBRIS.sub("", text).rstrip())
+        self.words = [EDGE.sub("", w.lower()) for w in self.raw]
+        self._shingles: set[int] | None = None
+
+    @property
+    def shingles(self) -> set[int]:
+        if self._shingles is None:
+            self._shingles = set(shingles(np.array(word_ids(words(self.text)), np.uint64)).tolist())
+        return self._shingles
+
+    def key(self, start: int) -> str:
+        """The wording from a word on: a text that goes on follows its beginning in this order."""
+        return " ".join(self.words[start:] if len(self.words) > start else self.words)
+
+
+def similar(a: Copy, b: Copy) -> bool:
+    """Whether two texts have a similarity of 0.8 over their shingles of five words."""
+    small, large = sorted((len(a.shingles), len(b.shingles)))
+    if small < SIMILARITY * large or not large:
+        return False
+    both = len(a.shingles & b.shingles)
+    return both >= SIMILARITY * (small + large - both)
+
+
+def goes_on(a: Copy, b: Copy) -> bool:
+    """Whether ``b`` goes on where ``a`` ends, within a word or a sentence.
+
+    The end of ``a`` is placed in ``b`` by the words before its last one, at the place
+    nearest to its own, so words changed, added or left out before them don't matter.
+    """
+    n, m = len(a.words), len(b.words)
+    if n < 2 or m < n:
+        return False
+    anchor = a.words[-1 - ANCHOR : -1]
+    k = len(anchor)
+    reach = max(2, m - n)
+    at = [p for p in range(max(k, n - 1 - reach), min(m, n + reach)) if b.words[p - k : p] == anchor]
+    if not at:
+        return False
+    p = min(at, key=lambda x: abs(x - (n - 1)))
+    own, other = a.words[-1], b.words[p]
+    if STOPS.search(a.raw[-1]):  # a stop that the copy has within a word, as in a number, is none
+        return b.raw[p].lower().startswith(a.raw[-1].lower()) and bool(EDGE.sub("", b.raw[p][len(a.raw[-1]) :]))
+    if own == other:
+        return p + 1 < m and not STOPS.search(b.raw[p])
+    return bool(own) and other.startswith(own)
+
+
 def similarity(a: str, b: str) -> float:
-    x, y = (set(shingles(np.array(word_ids(words(t)), np.uint64)).tolist()) for t in (a, b))
+    x, y = Copy(0, a).shingles, Copy(1, b).shingles
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
 def ends_early(short: str, long: str) -> bool:
-    """Whether the alignment of a near-copy with a longer one reaches its end, while the other goes on."""
-    own = DEBRIS.sub("", short).rstrip()
-    n = next((i for i, (x, y) in enumerate(zip(own, long)) if x != y), min(len(own), len(long)))
-    return n == len(own) < len(long.rstrip()) and similarity(short, long) >= SIMILARITY
+    """Whether the alignment of a near-copy with another reaches its end, while the other goes on."""
+    a, b = Copy(0, short), Copy(1, long)
+    return goes_on(a, b) and similar(a, b)
+
+
+def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
+    """The copies that end early, of (bucket, key, copy) rows in that order; then ``rows`` is exhausted.
+
+    In the order of the keys all texts that begin with another follow it directly. So
+    the texts that continue a text word for word are met while it lies on a stack of
+    beginnings, which is never deeper than a text has characters, and all of them are
+    tried until one is similar. For copies that differ before the end, the ``NEAR``
+    rows on either side are tried. No more pairs than that arise, however many texts a
+    bucket has.
+    """
+    bucket, stack, last = None, [], deque(maxlen=NEAR)
+    for band, key, new in rows:
+        if band != bucket:
+            bucket, stack = band, []
+            last.clear()
+        while stack and not key.startswith(stack[-1][0]):
+            stack.pop()
+        tried = set()
+        for begun, old in reversed(stack):
+            if len(old.words) < 0.75 * len(new.words) - 1:
+                break  # too short for a similarity of 0.8, as are all before it
+            tried.add(old.h)
+            if not old.early and goes_on(old, new) and similar(old, new):
+                old.early = True
+                yield old
+        for old in last:
+            if old.h in tried or old.h == new.h:
+                continue
+            for a, b in ((old, new), (new, old)):
+                if not a.early and goes_on(a, b) and similar(a, b):
+                    a.early = True
+                    yield a
+        stack.append((key, new))
+        last.append(new)
+
+
+def _pass(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
+    """(band, key, h, text, early) of the copies that end early and, with ``borders``, of a partition's first and last rows."""
+    names = ["band", "key", "h", "text", "early"]
+    first: list[tuple[int, str, Copy]] = []
+    recent: deque[tuple[int, str, Copy]] = deque(maxlen=NEAR)
+    open_rows: list[tuple[int, str, Copy]] = []
+
+    def read() -> Iterator[tuple[int, str, Copy]]:
+        for b in batches:
+            for band, key, h, text in zip(*(b.column(c).to_pylist() for c in names[:4])):
+                row = (band, key, Copy(h, text))
+                if len(first) < NEAR:
+                    first.append(row)
+                recent.append(row)
+                while open_rows and not (open_rows[-1][0] == band and key.startswith(open_rows[-1][1])):
+                    open_rows.pop()
+                open_rows.append(row)
+                yield row
+
+    def batch(rows: list[tuple], early: bool) -> pa.RecordBatch:
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2].h for r in rows], [r[2].text for r in rows], [early] * len(rows)]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    found: list[tuple] = []
+    for copy in neighbours(read()):
+        found.append((0, "", Copy(copy.h, "")))
+        if len(found) >= 4096:
+            yield batch(found, True)
+            found = []
+    if found:
+        yield batch(found, True)
+    if borders:
+        edge = {id(r): r for r in (*first, *recent, *open_rows)}
+        if edge:
+            yield batch(list(edge.values()), False)
 
 
 def _states(batches: Iterator[pa.RecordBatch], table: TerminalityTable) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, options, questions = (b.column(c).to_pylist() for c in ("text", "options", "question"))
         state = np.zeros(len(texts), np.int8)
-        score = np.zeros(len(texts), np.float32)
+        whole, answered = np.ones(len(texts), bool), np.zeros(len(texts), bool)
         for i, (t, o, q) in enumerate(zip(texts, options, questions)):
-            state[i], word = end_state(t, o, q)
+            state[i], wording = end_state(t, o, q)
+            answered[i] = state[i] == CLOSED and wording == ANSWER
             if state[i] == UNSURE:
-                score[i] = table.score(word)
+                whole[i] = table.whole(wording)
         which, keys = band_keys(texts)
         per = np.zeros(len(texts), np.int64)
         per[which] = BANDS
         bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("id", "source", "delivered_at", "h", "size")), pa.array(state), pa.array(score), bands],
-            names=["id", "source", "delivered_at", "h", "size", "state", "score", "bands"],
+            [*(b.column(c) for c in ("id", "source", "delivered_at", "h")), pa.array(state), pa.array(whole), pa.array(answered), bands],
+            names=["id", "source", "delivered_at", "h", "state", "whole", "answered", "bands"],
         )
 
 
 def early_copies(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h): hashes of texts whose alignment with a longer near-copy ends early.
-
-    Exact copies fall together in the aggregation. Each text of a band's bucket is
-    held against the bucket's longest text: as many pairs as texts, however many
-    share a bucket. Only the longest text of a bucket travels to its members.
+    """(h): hashes of texts whose alignment with a near-copy ends early, while the copy goes on.
+
+    Exact copies fall together in the aggregation. The texts of a bucket are sorted by
+    wording and aligned with those that continue them and with their neighbours (see
+    ``neighbours``), so as many pairs arise as texts, however many share a bucket, and
+    the order is by ranges: a bucket with a third of all texts spreads over as many
+    tasks as its size asks for. The first and the last rows of each range, a few per
+    partition, are aligned with each other in a second pass.
     """
-    keyed = marked.filter(F.size("bands") > 0).select("h", "size", F.explode("bands").alias("band"))
-    best = keyed.groupBy("band").agg(F.max(F.struct("size", "h")).alias("top"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    best = best.filter("lo <> hi").select("band", F.col("top.size").alias("top_size"), F.col("top.h").alias("top"))
-    pairs = durable(keyed.join(best, "band").filter("h <> top AND size < top_size").select("h", "top").distinct(), "pairs")
-    needed = pairs.select("h").unionByName(pairs.select(F.col("top").alias("h"))).distinct()
-    kept = durable(texts.join(needed, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
-
-    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            yield pa.array([ends_early(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
-
-    early = F.arrow_udf(judge, "boolean")(F.col("text"), F.col("long"))
-    both = pairs.join(kept, "h").join(kept.select(F.col("h").alias("top"), F.col("text").alias("long")), "top")
-    return both.filter(early).select("h").distinct()
+    keyed = marked.filter(F.size("bands") > 0).select("h", F.posexplode("bands").alias("n", "band"))
+    shared = keyed.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("band")
+    members = durable(keyed.join(shared, "band").distinct(), "members")
+    needed = members.select("h").distinct()
+    kept = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
+
+    def keys(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for n, text in batches:
+            yield pa.array([Copy(0, t).key(STARTS[i % len(STARTS)]) for i, t in zip(n.to_pylist(), text.to_pylist())], pa.string())
+
+    rows = members.join(kept, "h").select("band", F.arrow_udf(keys, "string")("n", "text").alias("key"), "h", "text")
+    rows = durable(rows, "buckets")
+    order, schema = ["band", "key", "h"], "band bigint, key string, h bigint, text string, early boolean"
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = durable(sorted_rows.mapInArrow(lambda it: _pass(it, True), schema), "early")
+    edges = found.filter("NOT early").drop("early").coalesce(1).sortWithinPartitions(*order)
+    across = edges.mapInArrow(lambda it: _pass(it, False), schema)
+    return found.filter("early").select("h").unionByName(across.select("h")).distinct()
+
+
+def marked_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records with the state of their ends and their bands, and the near-copies (h) that end early."""
+    table = terminality(records.select("text"))
+    hashed = records.select("id", "source", "delivered_at", F.xxhash64("text").alias("h"), "text", "options", "question")
+    kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
+    schema = f"id {kinds['id']}, source {kinds['source']}, delivered_at {kinds['delivered_at']}, h bigint, state tinyint, whole boolean, answered boolean, bands array<bigint>"
+    marked = durable(hashed.mapInArrow(lambda it: _states(it, table), schema), "marked")
+    return marked, early_copies(marked, hashed.select("h", "text"))
 
 
 def cut_records(records: DataFrame) -> DataFrame:
-    """(id, source, cut) of each record; ``records`` has id, source, delivered_at, text, options, question.
-
-    Of several deliveries of an id the latest counts; rows without an id are one
-    record. Null and empty texts are not cut. Whole texts are judged, whatever their
-    length.
+    """(id, source, cut, stage) of each record; ``records`` has id, source, delivered_at, text, options, question.
+
+    ``stage`` says what decided: ``near_copy``, ``form`` or ``terminality``. Of several
+    deliveries of an id the latest counts, of equally late ones a cut one; each row
+    without an id is a record of its own. Null and empty texts are not cut. Whole
+    texts are judged, whatever their length. A text of fewer than five words has no
+    shingle; none can reach a similarity of 0.8 with a text that goes on, so it is
+    scored by its end.
     """
-    table = terminality(records.select("text"))
-    hashed = records.select("id", "source", "delivered_at", F.xxhash64("text").alias("h"), F.length("text").alias("size"), "text", "options", "question")
-    kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
-    schema = f"id {kinds['id']}, source {kinds['source']}, delivered_at {kinds['delivered_at']}, h bigint, size int, state tinyint, score float, bands array<bigint>"
-    marked = durable(hashed.mapInArrow(lambda it: _states(it, table), schema), "marked")
-    early = early_copies(marked, hashed.select("h", "text")).withColumn("early", F.lit(True))
-    unsure = F.col("state") == UNSURE
-    sure = marked.filter(~unsure).select("id", "source", "delivered_at", (F.col("state") == OPEN).alias("cut"))
-    asked = marked.filter(unsure).join(early, "h", "left")
-    scored = asked.select("id", "source", "delivered_at", (F.coalesce("early", F.lit(False)) | (F.col("score") < LEAST_TERMINALITY)).alias("cut"))
-    every = sure.unionByName(scored)
-    return every.groupBy("id").agg(F.max(F.struct("delivered_at", "cut", "source")).alias("s")).select("id", "s.source", "s.cut")
+    marked, copies = marked_records(records)
+    judged = marked.join(copies.withColumn("early", F.lit(True)), "h", "left")
+    early = F.coalesce("early", F.lit(False)) & ~F.col("answered")
+    stage = F.when(early, "near_copy").when(F.col("state") == UNSURE, "terminality").otherwise("form")
+    cut = early | (F.col("state") == OPEN) | ((F.col("state") == UNSURE) & ~F.col("whole"))
+    every = judged.select("id", "source", "delivered_at", cut.alias("cut"), stage.alias("stage"))
+    last = every.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("delivered_at", "cut", "source", "stage")).alias("s"))
+    lone = every.filter("id IS NULL").select("id", "source", "cut", "stage")
+    return last.select("id", "s.source", "s.cut", "s.stage").unionByName(lone)
 
 
 def record_texts(records: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from keepstream.llm import endings, language, pair_defects, truncation
@@ -21,7 +22,7 @@ def test_whole_answers(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["The answer is A. Then the man mov", "Then the man walks to the far end of the", "<think>\nSo it is.", "<think>\nSo it is.\n</thin", '{"answer": "A", "reason": "It is so.', "```\nA whole sentence.",
+    ["The answer is A. Then the man mov", "<think>\nSo it is.", "<think>\nSo it is.\n</thin", '{"answer": "A", "reason": "It is so.', "```\nA whole sentence.",
      'It is so. The sign says "EXIT', "It is seen (at 5:1", "It is A. And th…(+307)", "It is A. And th [...]", "It is A. And th…", "It is A. And th�", "It is A. And th\\", "It is A. And th\n", "It is A. And wh...",
      "A,", "No, ", "A. the dog and", "正解はAです。その後、庭師はは", "B. a red bucket on the low", "What does the driver of the van do right aft"],
 )
@@ -30,7 +31,14 @@ def test_cut_answers(text):
 
 
 def test_unsure_answers():
-    assert endings.end_state("the phone", None, None) == (UNSURE, "phone")
+    assert endings.end_state("the phone", None, None) == (UNSURE, "the phone")
+    assert endings.end_state("red cup on the left table", None, None)[0] == UNSURE
+    assert endings.end_state("B. the", "the dog\tthe cat", None)[0] == OPEN
+    assert endings.end_state("The kettle", None, "The kettle: where is it?")[0] == UNSURE
+    for text in ('The 6" pipe.', "5' 10\"", 'It says "EXIT 4".'):
+        assert endings.end_state(text)[0] != OPEN
+    for text in ('It says "EXIT 4', 'It says "EXIT 4" and "GO', 'A 6" pipe. It says "GO'):
+        assert endings.end_state(text)[0] == OPEN
 
 
 def test_terminality(spark):
@@ -149,9 +157,14 @@ CASES = [
 ]
 
 
+#: A table of nothing that takes unknown words for whole.
+TABLE = truncation.TerminalityTable(np.zeros(2 * truncation.SLOTS), np.zeros(2 * truncation.SLOTS))
+TABLE.unseen = 1.0
+
+
 @pytest.mark.parametrize("text,want", CASES)
 def test_defects(text, want):
-    got = pair_defects.defects(Q, "the dog\ta cat", text, lambda w: True)
+    got = pair_defects.defects(Q, "the dog\ta cat", text, TABLE.whole)
     assert got == (want if text is not None else ["empty"])
 
 

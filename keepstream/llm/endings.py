@@ -10,13 +10,15 @@ import unicodedata
 CLOSED, OPEN, UNSURE = 0, 1, 2
 #: Why a text is closed: it is a whole answer in itself, which a longer copy cannot open again.
 ANSWER = "answer"
+#: Why a text is open: a part left open, or an end that comes too early.
+UNCLOSED, ABRUPT = "unclosed", "abrupt"
 
 #: Words for yes, no and their short additions.
 YES_NO = frozenset(
     "yes no yep nope true false sí si oui non ja nein sim não nao はい いいえ 是 是的 不是 否 对 不 没有 有 네 아니요 да нет sì 还没有 まだです まだ".split()
 ) | frozenset(("notyet", "stillnot", "notodavíano", "todavíano", "noaúnno", "aúnno", "neinnochnicht", "nochnicht", "nonpasencore", "pasencore", "nãoaindanão", "aindanão"))
 #: Texts that stand for no value.
-NO_VALUE = frozenset("null none nan n/a na nil undefined unknown error empty no_answer".split())
+NO_VALUE = frozenset("null none nan n/a na nil undefined unknown error empty no_answer".split()) | {"no answer"}
 
 TERMINAL = ".!?。！？．…؟।"
 CLOSERS = "\"'”’»」』）)]】》*_`}>~ \t\r\n​﻿"
@@ -142,7 +144,7 @@ def unclosed(text: str) -> bool:
 
 
 def end_state(text: str | None, options: str | None = None, question: str | None = None) -> tuple[int, str]:
-    """The state of a text's end, with its last wording where the form leaves the state open, or ``ANSWER``.
+    """The state of a text's end, with its last wording where the form leaves the state open, or why it is closed or open.
 
     Null and blank texts are closed: nothing was cut from them. A stop, a letter, a
     number, a whole option or question closes a text; an open part, a comma, an
@@ -155,9 +157,9 @@ def end_state(text: str | None, options: str | None = None, question: str | None
     t = TRAIL.sub("", text)
     bare = DEBRIS.sub("", t)
     if bare != t and norm(bare):
-        return OPEN, ""
+        return OPEN, ABRUPT
     if unclosed(t):
-        return OPEN, ""
+        return OPEN, UNCLOSED
     body = TAG.sub("", after_thinking(t)).strip()  # all tags are closed by here, and their names are no wording
     j = json_values(body)
     if j is not None:
@@ -168,7 +170,7 @@ def end_state(text: str | None, options: str | None = None, question: str | None
     if core[-1] in TERMINAL or unicodedata.category(core[-1]) in ("So", "Sk"):
         return CLOSED, ""
     if core[-1] in ",，、":
-        return OPEN, ""
+        return OPEN, ABRUPT
     if LETTER.match(body) or NUMBER.match(body):
         return CLOSED, ANSWER
     said = norm(body)
@@ -183,10 +185,10 @@ def end_state(text: str | None, options: str | None = None, question: str | None
         if any(wording == norm(o) or said == norm(o) for o in opts):
             return CLOSED, ANSWER
         if unlabelled != body and wording and not wording.isdigit() and any(norm(o).startswith(wording) for o in opts):
-            return OPEN, ""  # a part of an option's wording
+            return OPEN, ABRUPT  # a part of an option's wording
         own = WORD.findall(unlabelled.casefold())
         if any(cut_in_word(own, WORD.findall(o.casefold())) for o in opts):
-            return OPEN, ""
+            return OPEN, ABRUPT
         if body[-1] == ";" and said.endswith(norm(opts[-1])):  # the whole list of options
             return CLOSED, ANSWER
     asked = normed(question)
@@ -195,9 +197,9 @@ def end_state(text: str | None, options: str | None = None, question: str | None
         if not rest or rest == asked or len(opts) > 1 and all(norm(o) in rest for o in opts) and rest.endswith(norm(opts[-1])):
             return CLOSED, ANSWER
     if asked and asked.startswith(said) and cut_in_word(WORD.findall(body.casefold()), WORD.findall(question.casefold())):
-        return OPEN, ""
+        return OPEN, ABRUPT
     if question and (q := question.strip()) and body.startswith(q) and body[len(q) :].strip():
         return end_state(body[len(q) :].strip(), options)  # a question said again before the answer
     if SENTENCE_END.search(unlabelled):
-        return OPEN, ""
+        return OPEN, ABRUPT
     return UNSURE, unlabelled

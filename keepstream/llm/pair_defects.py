@@ -11,14 +11,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepstream.llm.endings import (
+    ABRUPT,
     INVISIBLE,
     NO_VALUE,
-    NOT_WORD,
     OPEN,
+    UNCLOSED,
     UNSURE,
     after_thinking,
     end_state,
@@ -26,43 +27,20 @@ from keepstream.llm.endings import (
     norm,
     normed,
     option_texts,
+    unclosed,
 )
 from keepstream.llm.language import differs
+from keepstream.llm.refusals import refuses
 from keepstream.llm.truncation import TerminalityTable, terminality
 
-#: In the order in which they name a pair.
-KINDS = ("empty", "copies_question", "truncated", "refusal", "other_language")
-
-#: Phrases that decline, by language; the speaker or the service is the subject.
-REFUSALS = re.compile(
-    r"""\bi(?:\s+am|'m|\s+was)?\s+(?:\w+\s+){0,2}?(?:can\s?not|can't|unable\s+to|not\s+able\s+to|not\s+allowed|not\s+permitted|must\s+decline|decline\s+to|have\s+to\s+(?:decline|pass|refuse)|refuse\s+to|will\s+not|won't|do\s+not\s+feel\s+comfortable|don't\s+feel\s+comfortable)\b"""
-    r"""|\bas\s+an?\s+(?:ai|assistant|language\s+model)\b.{0,40}\b(?:cannot|can't|unable|not\s+able|decline|won't|comfortable|pass)\b"""
-    r"""|\bwe\s+(?:regret|cannot|can't|are\s+unable|must\s+decline)\b|\bfalls\s+outside\b|\boutside\s+(?:of\s+)?what\s+(?:is|may|can)\b"""
-    r"""|\b(?:request|content|answer|question)\s+(?:was\s+|is\s+|has\s+been\s+)?(?:refused|declined|denied|blocked|rejected)\b|\brequest\s+can(?:'t|not)\s+be\b"""
-    r"""|\bagainst\s+(?:my|our|the)\s+(?:instructions|guidelines|policy|policies|rules)\b|\b(?:my|our)\s+(?:guidelines|instructions|policies|policy|rules)\s+(?:prevent|forbid|prohibit|do\s+not\s+allow|don't\s+allow)\b"""
-    r"""|\bnot\s+permitted\s+to\b|\bnot\s+something\s+that\s+can\s+be\s+discussed\b|\bno\s+answer\s+(?:will|can)\s+be\s+(?:given|provided)\b|\bwould\s+be\s+inappropriate\b|\bstays\s+unanswered\b"""
-    r"""|\bje\s+ne\s+(?:peux|suis|puis|souhaite|veux)\b|\bje\s+(?:refuse|préfère\s+ne\s+pas|dois\s+(?:refuser|décliner))\b|\bil\s+m'est\s+(?:impossible|interdit)\b|\bm'est\s+impossible\b|\bne\s+(?:peut|peux)\s+pas\s+(?:répondre|être)|\bpas\s+autorisée?\b|\bdésolée?\b.{0,20}\b(?:ne|impossible)\b|\brefuse\s+de\b|\brefusée?\b|\bpas\s+en\s+mesure\b"""
-    r"""|\bno\s+(?:puedo|podemos|me\s+es\s+posible|es\s+posible|estoy\s+autorizad|se\s+me\s+permite|me\s+está\s+permitido|tengo\s+permi|debo|voy\s+a)\w*\b|\blo\s+siento\b|\bme\s+niego\b|\bprefiero\s+no\b|\bdebo\s+(?:rechazar|declinar|negarme)\b|\bmis\s+(?:normas|directrices|instrucciones)\b|\bse\s+(?:deniega|rechaza)\b"""
-    r"""|\bnão\s+(?:posso|podemos|me\s+é\s+(?:possível|permitido)|é\s+possível|estou\s+autorizad|tenho\s+permi|consigo|devo|vou)\w*\b|\bdesculpe\b|\blamento\b|\bsinto\s+muito\b|\bme\s+recuso\b|\brecuso\b|\bprefiro\s+não\b|\bminhas\s+(?:diretrizes|instruções|regras)\b"""
-    r"""|\bich\s+(?:kann|darf|möchte|werde)\b.{0,60}\bnicht\b|\bich\s+(?:kann|darf|möchte)\s+(?:\w+\s+){0,4}(?:keine?|nichts)\b|\bes\s+ist\s+mir\s+(?:nicht|leider|untersagt)|\btut\s+mir\s+leid\b|\bleider\b|\bnicht\s+(?:gestattet|erlaubt|beantworten|kommentieren|möglich)\b|\babgelehnt\b|\blehne\b|\bverweiger\w+|\bkann\s+(?:\w+\s+){0,6}nicht\s+(?:beantwort|beschreib|helf|kommentier)\w+"""
-    r"""|申し訳|できません|お答えでき|お断り|控え(?:ます|させ)|いたしかね|しかねます|许可されて|無法|无法(?:回答|提供|描述|识别|帮助|协助|评论|查看|完成|满足)|我无法|我不能|不能(?:回答|提供|描述|评论|透露)|不便|拒绝|抱歉|恕|不予|不允许|죄송|없습니다|не могу|извините""",
-    re.I,
-)
-#: Stems of which every refusal phrase has one: a cheap test before the patterns.
-STEMS = (
-    "can't", "cannot", "can not", "unable", "not able", "declin", "déclin", "won't", "will not", "pass", "refuse", "comfortable", "regret", "outside", "against",
-    "guidelines", "policies", "policy", "instructions", "rules", "permitted", "allowed", "discussed", "no answer", "inappropriate", "unanswered", "denied", "blocked",
-    "rejected", "ne peu", "ne suis", "ne puis", "ne veux", "ne souhaite", "préfère", "refus", "impossible", "interdit", "autoris", "désol", "mesure", "puedo",
-    "podemos", "posible", "autoriz", "permi", "debo", "voy a", "lo siento", "niego", "prefiero", "rechaz", "mis ", "deniega", "posso", "possível", "consigo",
-    "devo", "vou", "desculp", "lamento", "sinto", "recuso", "prefiro", "minhas ", "nicht", "leider", "leid", "kein", "nichts", "untersagt", "abgelehnt", "lehne",
-    "verweig", "申し訳", "できません", "お答え", "お断り", "控え", "かね", "许可", "無法", "无法", "不能", "不便", "拒绝", "抱歉", "恕", "不予", "不允许", "죄송", "없습", "не могу", "извините",
-)
+#: In the order in which they name a pair; the two kinds of truncation have one name.
+KINDS = ("empty", "copies_question", "unclosed", "abrupt", "refusal", "other_language")
+NAMES = {"unclosed": "truncated", "abrupt": "truncated"}
+
 #: A label before a repeated question, such as "Question:" or "You asked:".
 ASKED = re.compile(r"^\W*(?:[^\W\d_]+[ \t]*){0,3}[:：]\W*")
-#: How a list of options is headed.
+#: How a list of options is headed.
 LISTED = frozenset(norm(w) for w in "options option choices answers opciones optionen opções réponses 选项 選択肢 選項".split())
-SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
-SPACES = re.compile(r"\s{2,}|[^\S ]")
 HINT = re.compile(r"(?:respond|answer|reply|choose|select|pick|give|return|output)\b[^.?!\n]*(?:letter|option|number|yes|no|only|choice|word)[^.?!\n]*[.?!:]?", re.I)
 MARKUP = re.compile(r"```\w*|</?\w+/?>|[*_`#>~|]+")
 REASON = re.compile(r"<think>.*?</think>", re.S)
@@ -76,16 +54,20 @@ def spoken(text: str) -> str:
     return j[1] if j and j[0] else fenced
 
 
+#: Any letter or digit; marks that may stand around a placeholder; a letter or a number by itself.
+ALNUM = re.compile(r"[^\W_]")
+AROUND = " \t\r\n.…\"'()[]{}<>-–—:;,!?*_`~|/\\"
+BARE = re.compile(r"(?:[\W_]*[A-Za-z][\W_]*|[\W\d_]*)\Z")
+
+
 def is_empty(text: str | None, said: str) -> bool:
-    """Whether nothing in a text answers: blank, invisible, bare marks, or a placeholder for no value."""
+    """Whether nothing in a text answers: blank, invisible, bare marks, or a placeholder for no value, whatever surrounds it."""
     if text is None:
         return True
     if "<think>" in text and "</think>" not in text:
         return False
-    if said.isascii() and len(said) > 40:
-        return not NOT_WORD.sub("", said)
-    said = INVISIBLE.sub(" ", said).strip()
-    return not norm(said) and "✅" not in said or said.strip(" .\"'()[]{}<>").lower() in NO_VALUE
+    said = said if said.isascii() and said.isprintable() else INVISIBLE.sub(" ", said)
+    return not ALNUM.search(said) and "✅" not in said or said.strip(AROUND).lower() in NO_VALUE
 
 
 def copies(question: str | None, options: str | None, said: str) -> bool:
@@ -111,38 +93,32 @@ def copies(question: str | None, options: str | None, said: str) -> bool:
     return all(len(w) <= 1 or w[:-1] in LISTED or w in LISTED for w in left.split("\x00"))
 
 
-def has_stem(low: str) -> bool:
-    spaced = SPACES.sub(" ", low)
-    return any(stem in spaced for stem in STEMS)
-
-
-def refuses(said: str) -> bool:
-    low = said.lower().replace("’", "'")
-    if not has_stem(low):
-        return False
-    return any(REFUSALS.search(s) for s in SENTENCES.split(low) if has_stem(s))
-
-
 def bare(said: str) -> bool:
     """A letter or a number, which is in no language."""
-    key = norm(said) if len(said) < 24 else "-" * 9
-    return len(key) <= 1 and key.isascii() or key.isdigit()
+    return bool(BARE.match(said))
 
 
 def defects(question: str | None, options: str | None, text: str | None, whole: Callable[[str], bool]) -> list[str]:
-    """All kinds that fire, in order; ``whole`` judges the closing word of an unsure end."""
-    said = "" if text is None else spoken(text)
-    if is_empty(text, said):
+    """All kinds that fire, in order; ``whole`` judges an unsure end's last wording.
+
+    An empty answer has no wording, so of the other rules only that of open parts can fire with it.
+    """
+    if text is None:
         return ["empty"]
-    out = []
-    if copies(question, options, said):
+    said = spoken(text)
+    state, why = end_state(text, options, question)
+    out = ["empty"] if is_empty(text, said) else []
+    if not out and copies(question, options, said):
         out.append("copies_question")
-    state, word = end_state(text, options, question)
-    if state == OPEN or state == UNSURE and not whole(word):
-        out.append("truncated")
+    if out[:1] == ["empty"]:
+        return [*out, UNCLOSED] if unclosed(text.strip()) else out
+    if state == OPEN:
+        out.append(why)
+    elif state == UNSURE and not whole(why):
+        out.append(ABRUPT)
     if refuses(said):
         out.append("refusal")
-    if not bare(said) and differs(question, said):
+    if not bare(said) and differs(question, said, options):
         out.append("other_language")
     return out
 
@@ -151,8 +127,9 @@ def pair_defects(pairs: DataFrame, table: TerminalityTable | None = None) -> Dat
     """(src, pair_id, defects) of the defective pairs; ``pairs`` has src, pair_id, question, options, response, delivered_at.
 
     ``options`` is a text, a list literal or lines. Of several deliveries of a pair
-    the latest counts; pairs without an id are one pair. A null question or options
-    is as a blank one: nothing can copy it, and no language differs from it.
+    the latest counts, of equally late ones one with defects; each row without an id is
+    a pair of its own. A null question or options is as a blank one: nothing can copy
+    it, and no language differs from it.
     """
     table = terminality(pairs.select(F.col("response").alias("text"))) if table is None else table
 
@@ -165,11 +142,21 @@ def pair_defects(pairs: DataFrame, table: TerminalityTable | None = None) -> Dat
 
     mask = F.arrow_udf(judge, "int")(F.col("question"), F.col("options"), F.col("response"))
     judged = pairs.select("src", "pair_id", "delivered_at", mask.alias("mask"))
-    last = judged.groupBy("src", "pair_id").agg(F.max(F.struct("delivered_at", "mask")).alias("s")).filter("s.mask > 0")
+    # a row without an id gets a key of its own, so that one judgement of the rows serves all
+    lone = F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id())
+    last = judged.withColumn("_lone", lone).groupBy("src", "pair_id", "_lone").agg(F.max(F.struct("delivered_at", "mask")).alias("s")).filter("s.mask > 0")
     named = [F.when(F.col("s.mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)]
     return last.select("src", "pair_id", F.array_compact(F.array(*named)).alias("defects"))
 
 
+def defect_name(kind: Column) -> Column:
+    """The name of a kind: both kinds of truncation have one."""
+    out = kind
+    for k, name in NAMES.items():
+        out = F.when(kind == k, name).otherwise(out)
+    return out
+
+
 def recorded_pairs(records: DataFrame, answers: DataFrame) -> DataFrame:
     """The pairs of run_records (question, raw_response) and of stream_answers (question, response)."""
     run = records.select(

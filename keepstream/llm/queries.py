@@ -83,7 +83,7 @@ def p6_defects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_defects(spark, folder).select("src", "pair_id", F.col("defects")[0].alias("defect"))
+    return p6_defects(spark, folder).select("src", "pair_id", pair_defects.defect_name(F.col("defects")[0]).alias("defect"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,8 +40,8 @@ SLOTS = 1 << 17
 #: A closing word that ends sentences less often than this leaves its sentence unfinished. Set by hand, not fitted:
 #: no labels are at hand. In the test tables function words score 0 and nouns about 0.23.
 LEAST_TERMINALITY = 0.04
-#: A word seen this often, of whose occurrences no larger part lies in wordings without a stop, is a sentence's, not a phrase's.
-CLAUSE_SEEN, CLAUSE_LOOSE = 20, 0.1
+#: A word seen this often that lies in wordings without a stop at most half as often as words do in all is a sentence's, not a phrase's.
+CLAUSE_SEEN, CLAUSE_LOOSE = 20, 0.5
 #: Verbs and conjunctions that make a wording a sentence; they count where the corpus says too little of a word.
 CLAUSE_WORDS = frozenset(
     "is are was were am has have had do does did will would can could should may might must because although while when if until "
@@ -51,6 +51,8 @@ CLAUSE_WORDS = frozenset(
 
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 STOPS = re.compile(r"[.!?。！？][\"'”’)\]*}]*$")
+#: A comma counts as a word of its own: like a verb, it may be a sign of sentences.
+COMMA = re.compile(r"[,，、]$")
 #: Blank-separated words; each ideograph and kana is a word, with the marks after it.
 PIECES = re.compile(r"[぀-ヿ㐀-鿿가-힯][^\w\s]*|[^\s぀-ヿ㐀-鿿가-힯]+")
 
@@ -73,6 +75,7 @@ class TerminalityTable:
         self.total, self.final, self.loose = total, final, np.zeros_like(total) if loose is None else loose
         first = total[:SLOTS]
         # words seen once stand for words not seen: where they abound, an unknown closing word is no sign of a cut
+        self.share = float(self.loose[:SLOTS].sum()) / max(1.0, float(first.sum()))
         self.unseen = float((first == 1).sum()) / max(1.0, float(first.sum()))
 
     def place(self, word: str) -> int:
@@ -85,12 +88,15 @@ class TerminalityTable:
 
     def in_clauses(self, word: str) -> bool:
         s = self.place(word)
-        return bool(self.loose[s] <= CLAUSE_LOOSE * self.total[s]) if self.total[s] >= CLAUSE_SEEN else word in CLAUSE_WORDS
+        return bool(self.loose[s] <= CLAUSE_LOOSE * self.share * self.total[s]) if self.total[s] >= CLAUSE_SEEN else word in CLAUSE_WORDS
 
     def whole(self, wording: str) -> bool:
         """Whether a wording without a stop may end here: a phrase, not a sentence, with a word that ends sentences."""
-        said = [w for t in words(wording) if (w := EDGE.sub("", t).lower())]
-        return not said or self.score(said[-1]) >= LEAST_TERMINALITY and not (len(said) > 1 and any(map(self.in_clauses, said)))
+        tokens = words(wording)
+        said = [w for t in tokens if (w := EDGE.sub("", t).lower())]
+        if len(said) > 1 and (any(map(self.in_clauses, said)) or any(map(COMMA.search, tokens)) and self.in_clauses(",")):
+            return False
+        return not said or self.score(said[-1]) >= LEAST_TERMINALITY
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +114,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ending[token] += 1
         for counts, into in ((seen, total), (ending, loose)):
             for token, n in counts.items():
+                if COMMA.search(token):
+                    for s in slots(","):
+                        into[s] += n
                 word = EDGE.sub("", token)
                 if not word or len(word) == 1 and word.isupper():
                     continue  # a single capital is an option's letter, not the article or pronoun

@@ -141,7 +141,7 @@ CASES = [
     (f"Question: {Q}\nOptions:\nA. the dog; B. a cat;\n\nRespond only with the letter corresponding to your chosen option.", ["copies_question"]),
     (f"{Q} The answer is A.", []),
     (f"{Q} A. the dog", []),
-    ("The kettle is on the she", ["truncated"]),
+    ("The kettle is on the she", ["abrupt"]),
     ("I'm sorry, but I cannot assist with questions about people in footage.", ["refusal"]),
     ("Content declined by policy.", ["refusal"]),
     ("Désolé, je ne peux pas répondre à cette question.", ["refusal", "other_language"]),

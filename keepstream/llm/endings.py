@@ -26,7 +26,8 @@ CLOSERS = "\"'”’»」』）)]】》*_`}>~ \t\r\n​﻿"
 DEBRIS = re.compile(
     r"(?:\s*(?:…\s*\(\+\s*\d+[^)]*\)|\[(?:\.\.\.|…|truncated|cut|trunc\.?|more)\]|<(?:truncated|cut|trunc)>|\((?:truncated|cut|\.\.\.|…)\)|�+|\\+(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|…|(?<=\w)\s?\.{3,}))+\s*$", re.I
 )
-TRAIL = re.compile(r"[\s​‌‍﻿­\x00]+$")
+TRAIL = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "\u200b\u200c\u200d\ufeff\u00ad\x00"
+ALNUM = re.compile(r"[^\W_]")
 INVISIBLE = re.compile(r"[\s​-‏⁠﻿­\x00-\x1f]+")
 TAG = re.compile(r"<(/?)([a-zA-Z_]{2,20})>")
 HALF_TAG = re.compile(r"<[/a-zA-Z_]{0,20}$")
@@ -52,6 +53,12 @@ def normed(question: str | None) -> str:
     return norm(question)
 
 
+def without_debris(t: str) -> str:
+    """A text without what a cut left at its end; the pattern is tried only where an end may be such a mark."""
+    may = t[-1:] in tuple(")]>\ufffd\\…") or t.endswith("...") or "\\" in t[-6:]
+    return DEBRIS.sub("", t) if may else t
+
+
 def after_thinking(text: str) -> str:
     """What follows the last closed reasoning block."""
     return text.rpartition("</think>")[2]
@@ -124,10 +131,10 @@ def cut_in_word(own: list[str], other: list[str]) -> bool:
 
 def unclosed(text: str) -> bool:
     """A tag, a fence, an object, a quotation, a bracket or an emphasis that was opened and not closed."""
-    if HALF_TAG.search(text) or text.count("```") % 2:
+    if "<" in text and HALF_TAG.search(text) or text.count("```") % 2:
         return True
     opened: list[str] = []
-    for close, name in TAG.findall(text):
+    for close, name in TAG.findall(text) if "<" in text else ():
         if not close:
             opened.append(name)
         elif name in opened:
@@ -152,20 +159,21 @@ def end_state(text: str | None, options: str | None = None, question: str | None
     others that have one leave it open. Length decides nothing: any other wording
     without a stop is unsure.
     """
-    if text is None or not norm(after_thinking(text)) and "<think>" not in text and not HALF_TAG.search(text.strip()):
+    if text is None or not ALNUM.search(after_thinking(text)) and "<think>" not in text and not HALF_TAG.search(text.strip()):
         return CLOSED, ""
-    t = TRAIL.sub("", text)
-    bare = DEBRIS.sub("", t)
-    if bare != t and norm(bare):
+    t = text.rstrip(TRAIL)
+    bare = without_debris(t)
+    if bare != t and ALNUM.search(bare):
         return OPEN, ABRUPT
     if unclosed(t):
         return OPEN, UNCLOSED
-    body = TAG.sub("", after_thinking(t)).strip()  # all tags are closed by here, and their names are no wording
+    body = after_thinking(t)
+    body = (TAG.sub("", body) if "<" in body else body).strip()  # all tags are closed by here, and their names are no wording
     j = json_values(body)
     if j is not None:
         return CLOSED, ANSWER
     core = body.rstrip(CLOSERS)
-    if not norm(core):
+    if not ALNUM.search(core):
         return CLOSED, ""
     if core[-1] in TERMINAL or unicodedata.category(core[-1]) in ("So", "Sk"):
         return CLOSED, ""

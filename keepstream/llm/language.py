@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
+
 #: Everyday prose, from which the models are built; colours, numbers, things of the house and words of answers included.
 SAMPLES = {
     "en": "the answer is that the man who was standing next to the window put a red cup on the table and then walked away with his dog. she opens the left door because it was closed before, but nobody else has seen them there. what do you think they are doing with this bright blue bag? i would say there were two or three people in the kitchen and one of them took the knife from the lower shelf. yes, no, not yet, never, nothing, something, first, last, after, while, which, where, when, how, why, our, your, their, from, into, about, green, yellow, black, white, brown, small, large, four, five, six, seven, water, coffee, bread, chair, house, street, child, woman, hand, right, looking at the clip it shows how he picks up the towel and washes the pan, which object does, who does it, how many times did, why do they stop, has been done, before, again, during, by, of, off, over, under, behind, near, against, between, through, only, also, very, more, most, other, such, than, if, but, or, so, be, am, being, had, having, could, should, will, may, might, must, can, all, any, both, each, few, some, these, those, its, it, me, my, us, we, whose, whom, one, each of them, touch, hold, move, turn, stop, start, look, find, point, read, write, old, young, worker, person, people, thing, time, part, place, side, end, bottom, top, box, glass, paper, metal, wooden",
@@ -53,6 +55,10 @@ OTHER_SCRIPTS = frozenset(lang for _, lang in SCRIPTS)
 LATIN_BLOCKS = (("\u0000", "ɏ"), ("Ḁ", "ỿ"))
 
 
+def unquoted(text: str) -> str:
+    return QUOTED.sub(" ", text) if any(c in text for c in '"“「«') else text
+
+
 def _model(text: str) -> list[Counter[str]]:
     """Counts of the character runs of a text's words, by length, with the edges of words."""
     counts: list[Counter[str]] = [Counter() for _ in range(ORDER + 2)]
@@ -127,32 +133,53 @@ def scores(words: list[str]) -> list[float]:
     return out
 
 
-def over_asked(words: list[str], asked: int, known: frozenset[str]) -> float:
-    """By how much some language explains words better than the one asked in.
+class Contrast:
+    """By how much each language explains a word better than one language does; rows of a growing matrix."""
 
-    A word of the sample asked in speaks for no other; one merely known from the question says nothing.
-    """
-    out = [0.0] * len(LANGUAGES)
-    for w in words:
-        by, named = word_scores(w), worded_in(w)
-        own = by[asked]
-        if asked in named:
-            out = [a if i in named else a + max(-BY_WORD, min(0.0, b - own)) for i, (a, b) in enumerate(zip(out, by))]
-        elif w not in known:
-            out = [a + (BY_WORD if i in named else max(-BY_LETTERS, min(BY_LETTERS, b - own))) for i, (a, b) in enumerate(zip(out, by))]
-    return max(out)
+    def __init__(self, asked: int):
+        self.asked, self.rows, self.table = asked, {}, np.zeros((1024, len(LANGUAGES)))
+
+    def row(self, word: str) -> int:
+        at = self.rows.get(word)
+        if at is None:
+            if len(self.rows) > 200_000:
+                self.rows.clear()
+            at = self.rows[word] = len(self.rows)
+            if at >= len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            by, named = word_scores(word), worded_in(word)
+            own, bound = by[self.asked], 0.0 if self.asked in named else BY_LETTERS
+            least, most = (-BY_WORD, 0.0) if self.asked in named else (-BY_LETTERS, BY_LETTERS)
+            gains = [max(least, min(most, b - own)) for b in by[:-1]]
+            for i in named:
+                gains[i] = BY_WORD if bound else 0.0
+            self.table[at] = gains
+        return at
+
+    def most(self, words: list[str], known: frozenset[str]) -> float:
+        """What the best language gains. A word of the sample asked in speaks for no other; one merely known from the question says nothing."""
+        own = vocabularies()[self.asked]
+        rows = [self.row(w) for w in words if w in own or w not in known]
+        return float(self.table[rows].sum(0).max()) if rows else 0.0
+
+
+@functools.lru_cache(len(LANGUAGES))
+def contrast(asked: int) -> Contrast:
+    return Contrast(asked)
+
+
+@functools.lru_cache(200_000)
+def latin_parts(token: str) -> tuple[str, ...]:
+    """The Latin-script words of a token, in lower case: those of an elision apart, a single capital none."""
+    if len(token) == 1 and token.isupper() and token.isascii():
+        return ()
+    parts = token.replace("’", "'").split("'")
+    return tuple(x.lower() for x in parts if x and all(any(a <= c <= b for a, b in LATIN_BLOCKS) for c in x))
 
 
 def latin_words(text: str) -> list[str]:
-    """The Latin-script words of a text, in lower case, those of an elision apart; single capitals are letters of options."""
-    out = []
-    for w in TOKEN.findall(text):
-        if len(w) == 1 and w.isupper() and w.isascii():
-            continue
-        for x in w.replace("’", "'").split("'"):
-            if x and all(any(a <= c <= b for a, b in LATIN_BLOCKS) for c in x):
-                out.append(x.lower())
-    return out
+    """The Latin-script words of a text, in lower case; single capitals are letters of options."""
+    return [x for w in TOKEN.findall(text) for x in latin_parts(w)]
 
 
 def script_language(text: str) -> tuple[str, float] | None:
@@ -181,7 +208,7 @@ def script_language(text: str) -> tuple[str, float] | None:
 @functools.lru_cache(8192)
 def language(text: str | None) -> str | None:
     """The language, or None where nothing tells it; quoted wording is left out."""
-    t = QUOTED.sub(" ", text or "")
+    t = unquoted(text or "")
     by_script = script_language(t)
     if by_script:
         return by_script[0]
@@ -206,7 +233,7 @@ def differs(question: str | None, answer: str, options: str | None = None) -> bo
     q = language(question)
     if q is None:
         return False
-    t = QUOTED.sub(" ", answer)
+    t = unquoted(answer)
     by_script = script_language(t)
     if by_script:
         if (by_script[0], q) == ("zh", "ja"):  # a few ideographs may be either; a sentence without kana is not Japanese
@@ -215,4 +242,4 @@ def differs(question: str | None, answer: str, options: str | None = None) -> bo
     words, known = latin_words(t), own_words(question, options)
     if q in OTHER_SCRIPTS:
         return max(scores([w for w in words if w not in known])) > OVER_ALL
-    return over_asked(words, LANGUAGES.index(q), known) > MARGIN
+    return contrast(LANGUAGES.index(q)).most(words, known) > MARGIN

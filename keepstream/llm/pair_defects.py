@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from keepstream.llm.endings import (
     ABRUPT,
+    ALNUM,
     INVISIBLE,
     NO_VALUE,
     OPEN,
@@ -43,19 +44,19 @@ ASKED = re.compile(r"^\W*(?:[^\W\d_]+[ \t]*){0,3}[:：]\W*")
 LISTED = frozenset(norm(w) for w in "options option choices answers opciones optionen opções réponses 选项 選択肢 選項".split())
 HINT = re.compile(r"(?:respond|answer|reply|choose|select|pick|give|return|output)\b[^.?!\n]*(?:letter|option|number|yes|no|only|choice|word)[^.?!\n]*[.?!:]?", re.I)
 MARKUP = re.compile(r"```\w*|</?\w+/?>|[*_`#>~|]+")
+MARKS = frozenset("`<>*_#~|")
 REASON = re.compile(r"<think>.*?</think>", re.S)
 
 
 def spoken(text: str) -> str:
     """The answer's wording: without reasoning, markup and JSON syntax."""
     body = after_thinking(REASON.sub(" ", text)) if "think>" in text else text
-    fenced = MARKUP.sub(" ", body)
+    fenced = body if MARKS.isdisjoint(body) else MARKUP.sub(" ", body)
     j = json_values(fenced)
     return j[1] if j and j[0] else fenced
 
 
-#: Any letter or digit; marks that may stand around a placeholder; a letter or a number by itself.
-ALNUM = re.compile(r"[^\W_]")
+#: Marks that may stand around a placeholder; a letter or a number by itself.
 AROUND = " \t\r\n.…\"'()[]{}<>-–—:;,!?*_`~|/\\"
 BARE = re.compile(r"(?:[\W_]*[A-Za-z][\W_]*|[\W\d_]*)\Z")
 

@@ -1,9 +1,11 @@
 import itertools
+import re
 import re._parser as parser
 
 import pytest
 
-from keepstream.llm.pair_defects import REFUSALS, defects, has_stem
+from keepstream.llm import refusals
+from keepstream.llm.pair_defects import defects
 
 
 def wordings(tokens):
@@ -30,14 +32,28 @@ def wordings(tokens):
             else:
                 parts.append(one if str(inner[0][0]) == "ANY" else ["", *one] if high == 1 else [""])
         else:
-            assert name == "AT", name
+            assert name in ("AT", "ASSERT"), name
     return ("".join(p) for p in itertools.product(*parts))
 
 
-def test_every_refusal_phrase_has_a_stem():
-    seen = list(wordings(parser.parse(REFUSALS.pattern, REFUSALS.flags)))
-    assert [w for w in seen if not REFUSALS.search(w)] == []
-    assert [w for w in seen if not has_stem(w)] == []
+@pytest.mark.parametrize("name", sorted(refusals.DECLINING))
+def test_every_head_and_phrase_has_a_stem(name):
+    d = refusals.DECLINING[name]
+    for pattern in filter(None, (d.heads, d.phrases)):
+        seen = [w for w in wordings(parser.parse(pattern, re.I))]
+        assert seen and [w for w in seen if not any(s in w for s in d.stems)] == []
+
+
+def test_stems_are_found_alike_without_the_automaton(monkeypatch):
+    texts = ["i cannot answer", "no puedo", "すみません、お答えできません", "the red cup", ""]
+    one = [refusals.Stems().languages(t) for t in texts]
+    monkeypatch.setattr(refusals, "ahocorasick", None)
+    assert [refusals.Stems().languages(t) for t in texts] == one and one[-2:] == [set(), set()]
+
+
+@pytest.mark.parametrize("text", ["I can't see the red cup in the last frame, so the answer is B.", "컵이 없습니다.", "Il refuse de manger.", "Leider ist die Tasse kaputt.", "The ball falls outside the frame.", "彼は泳ぐことができません。", "I cannot identify the man, but it is B."])
+def test_what_is_no_refusal(text):
+    assert not refusals.refuses(text)
 
 
 @pytest.mark.parametrize(

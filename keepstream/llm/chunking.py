@@ -105,8 +105,9 @@ def _cuts(chars: np.ndarray, tokens: np.ndarray, strength: np.ndarray, k: int, l
 def pieces(enc: Encoder, text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of one text; a text within the limit is one piece, an empty one none.
 
-    Consecutive pieces share at least ``overlap`` tokens, up to the next place where
-    a text may be cut. Each piece's count is that of its own text.
+    Consecutive pieces share at least ``overlap`` tokens, counted in the text as well as
+    of the shared part alone, up to the next place where a text may be cut. Each
+    piece's count is that of its own text.
     """
     if not text:
         return []
@@ -121,6 +122,11 @@ def pieces(enc: Encoder, text: str | None, limit: int = LIMIT, overlap: int = OV
     while True:
         cut = _cuts(chars, tokens, strength, k, limit, overlap)
         if cut:
+            for i in range(1, len(cut)):  # a shared part encoded by itself may have a token less than within the text
+                b, e = cut[i]
+                while b - 1 > cut[i - 1][0] and enc.count(text[int(chars[b]) : int(chars[cut[i - 1][1]])]) < overlap:
+                    b -= 1
+                cut[i] = (b, e)
             spans = [(int(chars[b]), int(chars[e])) for b, e in cut]
             counts = [enc.count(text[b:e]) for b, e in spans]
             if max(counts) <= limit:

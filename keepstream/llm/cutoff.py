@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepstream.operators.ranged import GROUP, LOCAL, PID, offsets, ranged_sums
@@ -22,30 +22,36 @@ def latest_windows(df: DataFrame, key: Sequence[str], latest: Sequence[str], pay
     return df.groupBy(*key).agg(F.max(F.struct(*latest, *payload)).alias("_s")).select(*key, "_s.*")
 
 
+def target_rank(ratio: Column, total: Column) -> Column:
+    """ceil(ratio * total), 0 to total, in decimals: the ratio as it is written, to 15 places, at any total."""
+    usable = F.when(ratio.isNotNull() & ~F.isnan(ratio), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)))
+    return F.ceil(usable.cast("decimal(17,15)") * total.cast("decimal(19,0)")).cast("bigint")
+
+
 def share_cutoffs(values: DataFrame, targets: DataFrame, source: str, score: str, ratio: str) -> DataFrame:
     """(source, ratio, cutoff, kept, total) for each row of the small table ``targets``.
 
     The cutoff is the score at rank ceil(ratio * total) from the top, so that the
     values at or above it are at least the target share; ties at the cutoff are all
     kept and counted. Null and NaN scores do not count, minus zero is zero. A ratio
-    of 0 or less, or a source without values, gives a null cutoff and keeps
-    nothing; a ratio above 1 keeps all. Targets with a null source are left out.
+    of 0 or less, null or NaN, or a source without values, gives a null cutoff and
+    keeps nothing; a ratio above 1 keeps all. Targets with a null source are left
+    out; each ratio that a source has in the table gives a row.
     """
     clean = values.select(F.col(source), (F.col(score).cast("double") + F.lit(0.0)).alias(score))
     counted = clean.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(source, score).agg(F.count(F.lit(1)).alias("cnt"))
     ranged = ranged_sums(counted, [source], [F.col(score).desc()], "cnt", "scores")
     off = durable(offsets(ranged, "cnt"), "offsets")  # at most partitions + sources rows
-    want = targets.select(source, F.col(ratio).cast("double").alias(ratio)).filter(F.col(source).isNotNull()).dropDuplicates([source])
+    want = targets.select(source, F.col(ratio).cast("double").alias(ratio)).filter(F.col(source).isNotNull()).distinct()
     want = want.withColumn(GROUP, F.xxhash64(F.lit(1), F.lit(False), F.col(source)))
     totals = off.groupBy(GROUP).agg(F.sum("_sum").alias("total"))
-    rank = F.least(F.col("total"), F.ceil(F.col(ratio) * F.col("total") - F.lit(1e-9)))
-    want = want.join(totals, GROUP, "left").fillna(0, ["total"]).withColumn("_rank", rank)
-    target = off.join(F.broadcast(want.select(GROUP, "_rank")), GROUP)
+    want = want.join(totals, GROUP, "left").fillna(0, ["total"]).withColumn("_rank", target_rank(F.col(ratio), F.col("total")))
+    target = off.join(F.broadcast(want.select(GROUP, "_rank").distinct()), GROUP)
     target = target.filter("_offset < _rank AND _offset + _sum >= _rank").select(GROUP, PID, "_offset", "_rank")
     # one partition per target; both broadcasts have a row per row of the small targets table
     row = ranged.join(F.broadcast(target), [GROUP, PID]).withColumn("kept", F.col("_offset") + F.col(LOCAL))
-    row = row.filter("kept >= _rank AND kept - cnt < _rank").select(GROUP, F.col(score).alias("cutoff"), "kept")
-    return want.join(row, GROUP, "left").fillna(0, ["kept"]).select(source, ratio, "cutoff", "kept", "total")
+    row = row.filter("kept >= _rank AND kept - cnt < _rank").select(GROUP, "_rank", F.col(score).alias("cutoff"), "kept")
+    return want.join(row, [GROUP, "_rank"], "left").fillna(0, ["kept"]).select(source, ratio, "cutoff", "kept", "total")
 
 
 def loss_cutoffs(windows: DataFrame, targets: DataFrame) -> DataFrame:

@@ -91,7 +91,11 @@ def radix_percentiles(values: DataFrame, groups: Sequence[str], quantiles: Seque
         coded = v.select(*groups, above.alias("prefix"), digit.alias("digit"))
         if p:
             followed = state.select(*groups, "prefix").distinct()
-            coded = coded.alias("v").join(followed.alias("f"), safe([*groups, "prefix"], "v", "f"), "left_semi")
+            kept = v.withColumn("prefix", above).alias("v").join(followed.alias("f"), safe([*groups, "prefix"], "v", "f"), "left_semi")
+            if p == 1:  # later passes read only values under the leading digits that are followed
+                kept = durable(kept.select(*groups, "u", "prefix"), "followed")
+                v = kept.drop("prefix")
+            coded = kept.select(*groups, "prefix", digit.alias("digit"))
         hist = coded.groupBy(*groups, "prefix", "digit").count()
         by = Window.partitionBy(*groups, "prefix").orderBy("digit")  # at most 2^16 rows
         hist = hist.withColumn("upto", F.sum("count").over(by))

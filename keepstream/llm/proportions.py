@@ -35,48 +35,74 @@ def deviation(taken: np.ndarray, target: np.ndarray, size: int) -> float:
     return float(np.abs(taken - target * size).sum()) / max(1, size)
 
 
-def repair(available: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, seed: int = 7) -> np.ndarray:
-    """Counts to take per category: at most the available, at least the floors where there are enough.
-
-    Starts at random above the floors and moves counts from the category that is
-    most above its target to the one most below, as many at a time as lower the
-    deviation, until no exchange does. With the total fixed, a move between an
-    over- and an under-filled category is the only kind that lowers the sum of
-    absolute deviations, so the end is a global minimum. If the floors alone
-    exceed ``size``, they are filled in turn by target.
+def random_counts(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind a random draw of ``n`` rows without replacement holds."""
+    out = np.zeros_like(room)
+    while n > 0 and room.sum() > out.sum():
+        left = room - out
+        if left.sum() < 1_000_000_000:
+            return out + rng.multivariate_hypergeometric(left, min(n, int(left.sum())), method="marginals")
+        add = np.minimum(rng.multinomial(n, left / left.sum()), left)  # beyond numpy's range: with replacement, the surplus drawn again
+        out, n = out + add, n - int(add.sum())
+    return out
+
+
+def random_start(available: np.ndarray, member: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A random sample of signatures that holds the floors, where there are enough rows; then any rows at random.
+
+    If the floors alone exceed ``size``, they are filled in turn by target.
+    """
+    taken = np.zeros_like(available)
+    for c in np.argsort(-target, kind="stable"):
+        lack = min(int(floor[c] - (member[:, c] * taken).sum()), size - int(taken.sum()))
+        if lack > 0:
+            taken = taken + random_counts(rng, np.where(member[:, c], available - taken, 0), lack)
+    return taken + random_counts(rng, available - taken, size - int(taken.sum()))
+
+
+def repair(
+    available: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, seed: int = 7, member: np.ndarray | None = None
+) -> np.ndarray:
+    """Counts to take per signature: at most the available, with the floors of the categories where there are enough.
+
+    ``member`` tells which categories (columns) a signature (row) has; without it each
+    signature is a category. Starts from ``random_start`` and exchanges counts between
+    two signatures, always the pair whose exchange lowers the deviation most per row,
+    as many rows at a time as keep lowering it and no floor forbids, until none does.
+    With one column of categories the end is a global minimum, since then only a
+    category above its target and one below can be exchanged with gain.
     """
     available = np.asarray(available, np.int64)
+    member = np.eye(len(available), dtype=bool) if member is None else np.asarray(member, bool)
     size = int(min(size, available.sum()))
-    low = np.minimum(np.asarray(floor, np.int64), available)
-    if low.sum() > size:
-        order, left = np.argsort(-target, kind="stable"), size
-        for i in order:
-            low[i] = min(low[i], left)
-            left -= low[i]
-    rng, taken, left = np.random.default_rng(seed), low.copy(), size - int(low.sum())
-    while left:  # a random start: proportional to what is there, remainders drawn
-        room = available - taken
-        add = np.minimum(room, np.floor(left * (room / room.sum())).astype(np.int64))
-        if not add.sum():
-            add = np.zeros_like(room)
-            for i in rng.permutation(np.flatnonzero(room))[:left]:
-                add[i] = 1
-        taken += add
-        left -= int(add.sum())
-    goal = np.asarray(target, float) * size
+    m = member.astype(np.int64)
+    low = np.minimum(np.asarray(floor, np.int64), m.T @ available)
+    target = np.asarray(target, float)
+    taken = random_start(available, member, target, low, size, np.random.default_rng(seed))
+    goal = target * size
     while True:
-        over = np.where(taken > low, taken - goal, -np.inf)
-        under = np.where(taken < available, goal - taken, -np.inf)
-        i, j = int(over.argmax()), int(under.argmax())
-        if i == j or over[i] + under[j] <= 1e-9 or max(over[i], under[j]) <= 0:
-            return taken
-        n = int(min(max(1, np.floor(min(over[i], under[j]))), taken[i] - low[i], available[j] - taken[j]))
-        trial = taken.copy()
-        trial[i] -= n
-        trial[j] += n
-        if deviation(trial, target, size) >= deviation(taken, target, size) - 1e-15:
+        have = m.T @ taken
+        low_now = np.minimum(low, have)  # floors that cannot be met must at least not get worse
+        gap = have - goal
+        # what one row more or less of each category changes, and from it of each pair: out of i, into j, common categories aside
+        less, more = np.abs(gap - 1) - np.abs(gap), np.abs(gap + 1) - np.abs(gap)
+        common = (m * (less + more)) @ m.T
+        change = (m @ less)[:, None] + (m @ more)[None, :] - common
+        stuck = have <= low_now
+        blocked = (m * stuck) @ (1 - m).T > 0  # i has a category at its floor that j lacks
+        change[(taken <= 0)[:, None] | (taken >= available)[None, :] | blocked] = np.inf
+        np.fill_diagonal(change, np.inf)
+        i, j = np.unravel_index(int(change.argmin()), change.shape) if change.size else (0, 0)
+        if not change.size or change[i, j] >= -1e-9:
             return taken
-        taken = trial
+        out, into = member[i] & ~member[j], member[j] & ~member[i]
+        most = int(min(taken[i], available[j] - taken[j], *((have - low_now)[out] if out.any() else [size])))
+        # the deviation is convex in the number of rows, with its bends where a category meets its goal
+        bends = {1, most} | {int(np.clip(f(x), 1, most)) for x in np.r_[gap[out], -gap[into]] if x > 0 for f in (np.floor, np.ceil)}
+        n = min(sorted(bends), key=lambda k: float(np.abs(gap - k * out + k * into).sum()))
+        taken = taken.copy()
+        taken[i] -= n
+        taken[j] += n
 
 
 def draw(df: DataFrame, signature: str, key: Sequence[Column], counts: DataFrame, seed: int) -> DataFrame:
@@ -102,60 +128,74 @@ def draw(df: DataFrame, signature: str, key: Sequence[Column], counts: DataFrame
     return sure.drop(*extra).unionByName(ranked.drop("_rank", *extra))
 
 
-def distinct_samples(df: DataFrame, key: str, category: str, latest: Sequence[str]) -> DataFrame:
-    """(key, category) of each distinct key, from its latest row; rows with a null key count each by its category."""
-    cat = clean_category(F.col(category))
-    state = F.max_by(F.struct(cat.alias("category")), F.struct(*latest, cat))
-    return df.groupBy(F.col(key).alias("key"), F.when(F.col(key).isNull(), cat).alias("_null")).agg(state.alias("s")).select(
-        "key", F.col("s.category").alias("category")
-    )
+def distinct_samples(df: DataFrame, key: str, categories: Sequence[str], latest: Sequence[str]) -> DataFrame:
+    """(key, _row, categories) of each distinct key, from its latest row; each row with a null key is a sample of its own, told by ``_row``."""
+    cats = [clean_category(F.col(c)).alias(f"c{k}") for k, c in enumerate(categories)]
+    names = [f"c{k}" for k in range(len(categories))]
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).alias(f"l{k}") for k, c in enumerate(latest)], *cats)
+    order = [f"l{k}" for k in range(len(latest))]
+    last = rows.filter("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct(*names), F.struct(*order, *names)).alias("s"))
+    lone = rows.filter("key IS NULL").select("key", F.monotonically_increasing_id().alias("_row"), *names)
+    return last.select("key", F.lit(-1).cast("bigint").alias("_row"), *[F.col(f"s.{n}").alias(n) for n in names]).unionByName(lone)
 
 
 def proportional_sample(
     df: DataFrame,
-    targets: DataFrame,
+    targets: DataFrame | dict[str, DataFrame],
     key: str = "id",
-    category: str = "task",
+    category: str | Sequence[str] = "task",
     latest: Sequence[str] = ("added_at",),
     fraction: float = 0.1,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
-    """The sample (key, category) and its report.
-
-    ``targets`` is a small table (category, target_share, min_rows). The sample has
-    round(fraction * distinct keys) rows, ties of the rounding upwards. A category
-    outside the targets (null included) has target 0. The report has a row per
-    target category and one for the others: available, target_share, min_rows,
-    taken, share, short_of_share (the share misses the target by a row or more) and
-    short_of_floor. Stray case and blanks of the category are ignored; an empty
-    table gives an empty sample and a report of shortfalls.
+    """The sample (key, categories) and its report.
+
+    ``targets`` is a small table (category, target_share, min_rows), or one such table
+    for each of several category columns, which are balanced together: a signature is
+    the combination of a row's categories. The sample has round(fraction * distinct
+    keys) rows, ties of the rounding upwards; each row with a null key counts. A
+    category outside the targets (null included) has target 0. The report has a row per
+    target category and one for the others (per column, with several): available,
+    target_share as given, goal_share (the shares scaled to 1), min_rows, taken, share,
+    short_of_share and over_share (the share misses the goal by a row or more, from
+    below or above) and short_of_floor. Stray case and blanks of the category are
+    ignored; an empty table gives an empty sample and a report of shortfalls.
     """
-    want = (
-        targets.select(clean_category(F.col(category)).alias("t"), F.col("target_share").cast("double"), F.col("min_rows").cast("bigint"))
-        .groupBy("t")
-        .agg(F.coalesce(F.max("target_share"), F.lit(0.0)), F.coalesce(F.max("min_rows"), F.lit(0)))
-        .filter("t IS NOT NULL")
-        .orderBy("t")
-        .collect()  # the small target table, which doesn't grow
-    )
-    names = [r[0] for r in want] + [OTHER]
-    label = F.when(F.col("category").isin(names[:-1]), F.col("category")).otherwise(F.lit(OTHER))
-    rows = durable(distinct_samples(df, key, category, latest).withColumn("signature", label), "samples")
-    have = {r["signature"]: r["count"] for r in rows.groupBy("signature").count().collect()}  # a row per target, and one
-    available = np.array([have.get(n, 0) for n in names], np.int64)
-    share = np.array([r[1] for r in want] + [0.0])
-    floor = np.array([r[2] for r in want] + [0], np.int64)
+    columns = [category] if isinstance(category, str) else list(category)
+    tables = targets if isinstance(targets, dict) else {columns[0]: targets}
+    wants = []
+    for c in columns:
+        t = tables[c].select(clean_category(F.col(c)).alias("t"), F.col("target_share").cast("double"), F.col("min_rows").cast("bigint"))
+        t = t.groupBy("t").agg(F.coalesce(F.max("target_share"), F.lit(0.0)), F.coalesce(F.max("min_rows"), F.lit(0)))
+        wants.append(t.filter("t IS NOT NULL").orderBy("t").collect())  # the small target table, which doesn't grow
+    rows = distinct_samples(df, key, columns, latest)
+    for k, want in enumerate(wants):
+        rows = rows.withColumn(f"s{k}", F.when(F.col(f"c{k}").isin([r[0] for r in want]), F.col(f"c{k}")).otherwise(F.lit(OTHER)))
+    labels = [f"s{k}" for k in range(len(columns))]
+    rows = durable(rows.withColumn("signature", F.to_json(F.array(*labels))), "samples")
+    # a row per combination of target categories
+    have = rows.groupBy("signature", *labels).count().orderBy("signature").collect()
+    kinds = [(k, n) for k, want in enumerate(wants) for n in [*(r[0] for r in want), OTHER]]
+    member = np.array([[r[f"s{k}"] == n for k, n in kinds] for r in have], bool).reshape(len(have), len(kinds))
+    available = np.array([r["count"] for r in have], np.int64)
+    share = np.array([s for want in wants for s in [*(r[1] for r in want), 0.0]])
+    total_share = np.array([sum(r[1] for r in wants[k]) or 1.0 for k, _ in kinds])
+    floor = np.array([s for want in wants for s in [*(r[2] for r in want), 0]], np.int64)
+    goal = share / total_share
     size = int(np.floor(available.sum() * fraction + 0.5))
-    taken = repair(available, share / (share.sum() or 1.0), floor, size, seed)
+    taken = repair(available, goal, floor, size, seed, member) if len(have) else np.zeros(0, np.int64)
     spark = df.sparkSession
-    counts = spark.createDataFrame([(n, int(t)) for n, t in zip(names, taken)], "signature string, take bigint")
-    sample = draw(rows, "signature", [F.col("key")], counts.filter("take > 0"), seed)
-    total = max(1, int(taken.sum()))
-    report = spark.createDataFrame(
-        [
-            (n, int(a), float(s), int(m), int(t), float(t / total), bool(t / total < s - 1 / total), bool(t < m))
-            for n, a, s, m, t in zip(names, available, share, floor, taken)
-        ],
-        f"{category} string, available bigint, target_share double, min_rows bigint, taken bigint, share double, short_of_share boolean, short_of_floor boolean",
+    counts = spark.createDataFrame([(r["signature"], int(t)) for r, t in zip(have, taken)], "signature string, take bigint")
+    sample = draw(rows, "signature", [F.col("key"), F.col("_row")], counts.filter("take > 0"), seed)
+    n = max(1, int(taken.sum()))
+    m = member.astype(np.int64)
+    report = []
+    for (k, name), a, s, g, low, t in zip(kinds, m.T @ available, share, goal, floor, m.T @ taken):
+        lead = (columns[k],) if len(columns) > 1 else ()
+        report.append((*lead, name, int(a), float(s), float(g), int(low), int(t), float(t / n), bool(t / n < g - 1 / n), bool(t / n > g + 1 / n), bool(t < low)))
+    head = "column string, category string" if len(columns) > 1 else f"{columns[0]} string"
+    return sample.select(F.col("key").alias(key), *[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]), spark.createDataFrame(
+        report,
+        f"{head}, available bigint, target_share double, goal_share double, min_rows bigint, taken bigint, share double, "
+        "short_of_share boolean, over_share boolean, short_of_floor boolean",
     )
-    return sample.select(F.col("key").alias(key), F.col("category").alias(category)), report

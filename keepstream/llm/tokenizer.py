@@ -171,8 +171,10 @@ def token_ids(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: s
         enc = encoder(shared)
         for b in batches:
             parts = [np.array(enc.encode(t.as_py()), np.int32) for t in b]
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+            if ends[-1] > np.iinfo(np.int32).max:
+                raise OverflowError("a batch of more than 2^31 tokens: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
 
     return df.withColumn(out, F.arrow_udf(encode, "array<int>")(F.col(text)))
 

@@ -57,6 +57,55 @@ def test_sample_and_report(spark):
     assert sorted(ids, key=str) == sorted((r["id"] for r in proportions.proportional_sample(df.repartition(5), targets, fraction=0.2)[0].collect()), key=str)
 
 
+def test_rows_without_a_key_count_each(spark):
+    df = spark.createDataFrame([(None, "A", None)] * 50 + [(i, "B", None) for i in range(50)], "id int, task string, added_at timestamp")
+    targets = spark.createDataFrame([("A", 0.5, 0), ("B", 0.5, 0)], "task string, target_share double, min_rows int")
+    sample, report = proportions.proportional_sample(df, targets, fraction=0.4)
+    assert {r["task"]: r["available"] for r in report.collect()} == {"A": 50, "B": 50, proportions.OTHER: 0}
+    assert [(r["id"] is None, r["task"]) for r in sample.collect()].count((True, "A")) == 20 and sample.count() == 40
+
+
+def test_start_is_random_and_keeps_floors():
+    available, floor = np.array([5000, 300, 40, 7]), np.array([10, 10, 30, 9])
+    low = np.minimum(floor, available)
+    starts = [proportions.random_start(available, np.eye(4, dtype=bool), np.array([0.4, 0.3, 0.2, 0.1]), low, 400, np.random.default_rng(s)) for s in range(200)]
+    assert all(s.sum() == 400 and (s >= low).all() and (s <= available).all() for s in starts)
+    assert len({tuple(s) for s in starts}) > 20 and starts[0].tolist() == proportions.random_start(available, np.eye(4, dtype=bool), np.array([0.4, 0.3, 0.2, 0.1]), low, 400, np.random.default_rng(0)).tolist()
+    rest, room = np.array(starts).mean(0) - low, available - low
+    assert abs(rest[0] / rest.sum() - room[0] / room.sum()) < 0.01  # above the floors each row is as likely as any other
+    huge = proportions.random_counts(np.random.default_rng(1), np.array([3 * 10**9, 10**9]), 10**8)
+    assert huge.sum() == 10**8 and abs(huge[0] / 10**8 - 0.75) < 0.01
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_several_columns_are_balanced_together(seed):
+    rng = np.random.default_rng(seed)
+    a, b = 4, 3
+    member = np.array([[i == x for x in range(a)] + [j == y for y in range(b)] for i in range(a) for j in range(b)])
+    available = rng.integers(200, 2000, a * b)
+    target = np.r_[rng.dirichlet(np.ones(a) * 5), rng.dirichlet(np.ones(b) * 5)]
+    floor = np.full(a + b, 20)
+    got = proportions.repair(available, target, floor, 600, seed, member)
+    have = member.T.astype(int) @ got
+    assert got.sum() == 600 and (got >= 0).all() and (got <= available).all() and (have >= floor).all()
+    feasible = np.maximum(target * 600, floor)
+    assert np.abs(have - target * 600).sum() <= np.abs(feasible - target * 600).sum() * 2 + a + b
+
+
+def test_sample_of_two_columns_and_a_category_above_its_target(spark):
+    rows = [(i, "A" if i % 4 else "B", "x" if i % 3 else "y", datetime(2031, 1, 1)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, task string, kind string, added_at timestamp")
+    t = spark.createDataFrame([("A", 0.5, 5), ("B", 0.5, 5)], "task string, target_share double, min_rows int")
+    k = spark.createDataFrame([("X", 0.8, 5), ("Y", 0.2, 5)], "kind string, target_share double, min_rows int")
+    sample, report = proportions.proportional_sample(df, {"task": t, "kind": k}, category=["task", "kind"], fraction=0.25)
+    taken = {(r["column"], r["category"]): r["taken"] for r in report.collect()}
+    assert taken["task", "A"] == taken["task", "B"] == 150 and taken["kind", "X"] == 240 and taken["kind", "Y"] == 60
+    assert sample.count() == 300 == sample.select("id").distinct().count() and sample.columns == ["id", "task", "kind"]
+    short = spark.createDataFrame([("A", 0.3, 5), ("B", 0.3, 5), ("GONE", 1.4, 5)], "task string, target_share double, min_rows int")
+    by = {r["task"]: r for r in proportions.proportional_sample(df, short, fraction=0.1)[1].collect()}
+    assert by["GONE"]["short_of_share"] and by["GONE"]["goal_share"] == pytest.approx(0.7) and by["A"]["over_share"] and by["B"]["over_share"]
+
+
 def test_sample_of_nothing(spark):
     df, targets = sample_tables(spark)
     sample, report = proportions.proportional_sample(df.limit(0), targets)
@@ -134,6 +183,26 @@ def test_cutoffs(spark, seed):
         assert (got[s]["cutoff"], got[s]["kept"], got[s]["total"]) == (cut, kept, len(own))
 
 
+def test_ranks_of_large_totals_are_exact(spark):
+    from decimal import ROUND_CEILING, Decimal
+
+    ratios = [0.55, 0.1, 0.07, 0.3, 0.9, 0.999, 1 / 3, 1e-9, 1.5, 0.0, -1.0]
+    totals = [42_000_000, 10**8, 10**8 + 1, 199_999_999, 3 * 10**12, 1, 0]
+    df = spark.createDataFrame([(r, t) for r in ratios for t in totals], "r double, t bigint")
+    for row in df.select("r", "t", cutoff.target_rank(F.col("r"), F.col("t")).alias("k")).collect():
+        want = (Decimal(repr(min(1.0, max(0.0, row["r"])))).quantize(Decimal(1).scaleb(-15)) * row["t"]).to_integral_value(ROUND_CEILING)
+        assert row["k"] == want
+    odd = spark.createDataFrame([(None, 5), (float("nan"), 5)], "r double, t bigint")
+    assert [r[0] for r in odd.select(cutoff.target_rank(F.col("r"), F.col("t"))).collect()] == [None, None]
+
+
+def test_two_ratios_of_one_source(spark):
+    df = spark.createDataFrame([("s", float(i)) for i in range(10)], "source string, score double")
+    targets = spark.createDataFrame([("s", 0.2), ("s", 0.5), ("s", None), ("s", 0.2)], "source string, ratio double")
+    got = {r["ratio"]: (r["cutoff"], r["kept"], r["total"]) for r in cutoff.share_cutoffs(df, targets, "source", "score", "ratio").collect()}
+    assert got == {0.2: (8.0, 2, 10), 0.5: (5.0, 5, 10), None: (None, 0, 10)}
+
+
 def test_windows_scored_twice(spark):
     t = [datetime(2031, 1, d) for d in (1, 2)]
     rows = [("v", [0, 1], t[0], 0, "c", [1.0, 2.0]), ("v", [0, 1], t[1], 0, "c", [5.0, 6.0, None]), ("v", [2, 3], t[0], 1, "c", None), ("w", None, t[0], 0, "c", [9.0])]

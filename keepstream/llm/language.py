@@ -159,8 +159,13 @@ class Contrast:
     def most(self, words: list[str], known: frozenset[str]) -> float:
         """What the best language gains. A word of the sample asked in speaks for no other; one merely known from the question says nothing."""
         own = vocabularies()[self.asked]
-        rows = [self.row(w) for w in words if w in own or w not in known]
-        return float(self.table[rows].sum(0).max()) if rows else 0.0
+        strange = [self.row(w) for w in words if w not in own and w not in known]
+        if not strange:
+            return 0.0
+        gains = self.table[strange].sum(0)
+        if gains.max() <= MARGIN:
+            return float(gains.max())  # words of its own only take away from that
+        return float((gains + self.table[[self.row(w) for w in words if w in own]].sum(0)).max())
 
 
 @functools.lru_cache(len(LANGUAGES))

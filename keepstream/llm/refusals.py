@@ -13,11 +13,6 @@ import functools
 import re
 from dataclasses import dataclass
 
-try:
-    import ahocorasick
-except ImportError:  # then stems are looked for one by one
-    ahocorasick = None
-
 #: Most characters between a head and its act.
 REACH = 60
 
@@ -26,7 +21,7 @@ REACH = 60
 class Declining:
     """Patterns of one language: heads that need an act after (or, with ``back``, before) them, and phrases of their own.
 
-    ``stems`` are texts of which every refusal of the language has one: a cheap test
+    ``stems`` begin words of which every refusal of the language has one: a cheap test
     before the patterns.
     """
 
@@ -45,7 +40,7 @@ class Declining:
 
 DECLINING = {
     "en": Declining(
-        ("not", "n't", "unable", "declin", "refus", "pass", "against", "outside", "no answer", "no comment", "no response", "no reply", "unanswered", "inappropriate", "denied", "blocked", "rejected", "withheld", "prohibit", "forbid", "prevent", "comfortable", "abstain"),
+        ("not", "cannot", "can't", "couldn't", "won't", "wouldn't", "don't", "doesn't", "unable", "declin", "refus", "pass", "against", "outside", "no answer", "no comment", "no response", "no reply", "unanswered", "inappropriate", "denied", "blocked", "rejected", "withheld", "prohibit", "forbid", "prevent", "comfortable", "abstain"),
         r"(?:i|we)(?:'m|'re| am| are| was| were)?(?: \w+){0,2}? (?:can ?not|can't|could not|couldn't|will not|won't|would not|wouldn't|may not|must not|unable to|not able to|not allowed to|not permitted to|not authori[sz]ed to|not going to|rather not|prefer not to|not comfortable)"
         r"|i'd rather not|i'd prefer not to",
         r"answer\w*|respond\w*|reply\w*|help\w*|assist\w*|provid\w+|give|giving|offer\w*|comment\w*|discuss\w*|describ\w+|identif\w+|recogni[sz]e who|speculat\w+|guess\w*|tell you|share\w*|disclos\w+|reveal\w*|engag\w+|compl[yi]\w*|complet\w+|fulfil\w*|process\w*|support that|judg\w+|do that|do this|view \w+ (?:analy\w+ )?videos?|view (?:or analy[sz]e )?videos?|watch videos?|analy[sz]e \w*\s?videos?|access\w* (?:the )?(?:video|footage|file)s?|say(?= ?(?:$|[.,;!?]))",
@@ -84,7 +79,7 @@ DECLINING = {
     ),
     "de": Declining(
         ("nicht", "keine", "nichts", "ablehn", "abgelehn", "lehne", "verweiger", "untersagt", "verwehrt", "unmöglich", "zurückgewiesen", "blockiert", "kein", "passen"),
-        r"(?:ich|wir) (?:kann|darf|möchte|werde|will|können|dürfen|möchten|werden|wollen)(?: \w+){0,8}? ?\b(?:nicht|keine?n?|nichts)|(?:kann|darf|möchte|werde|können|dürfen) (?:ich|wir)(?: \w+){0,6}? ?(?:nicht|keine?n?|nichts)|es ist mir (?:leider )?(?:nicht (?:möglich|erlaubt|gestattet)|untersagt|unmöglich)|ich bin nicht (?:in der lage|befugt|berechtigt)|mir ist es nicht (?:möglich|erlaubt|gestattet)",
+        r"(?:ich|wir) (?:kann|darf|möchte|werde|will|können|dürfen|möchten|werden|wollen)(?: \w+){0,8}? ?\b(?:nicht|keine?n?|nichts)|(?:kann|darf|möchte|werde|können|dürfen) (?:ich|wir)(?: \w+){0,6}? ?\b(?:nicht|keine?n?|nichts)|es ist mir (?:leider )?(?:nicht (?:möglich|erlaubt|gestattet)|untersagt|unmöglich)|ich bin nicht (?:in der lage|befugt|berechtigt)|mir ist es nicht (?:möglich|erlaubt|gestattet)",
         r"(?:be)?antwort\w*|helf\w*|behilflich|unterstütz\w*|kommenti\w+|kommentar\w*|beschreib\w*|identifizi\w+|auskunft|auskünfte|angaben|äußern|sagen|geben|bereitstell\w*|besprech\w*|diskuti\w*|erfüllen|weitergeben|preisgeben|bearbeit\w*|analysi\w+",
         r"(?:ich|wir) (?:lehne|lehnen|verweiger\w+)|(?:ich|wir) (?:muss|müssen)(?: \w+){0,6}? (?:ablehnen|verweigern|passen)|(?:anfrage|frage|antwort|inhalt|bitte)(?: \w+){0,6}? (?:abgelehnt|verweigert|blockiert|zurückgewiesen|nicht beantwortet)|nicht (?:gestattet|erlaubt)[^.!?]{0,40}(?:antwort|beschreib|kommentier|auskunft)\w*",
     ),
@@ -96,7 +91,7 @@ DECLINING = {
     ),
     "nl": Declining(
         ("niet", "geen", "weiger", "geweigerd", "afgewezen", "geblokkeerd", "ik geef", "liever", "afwijzen", "passen"),
-        r"(?:ik|wij|we) (?:kan|mag|wil|zal|kunnen|mogen|willen|zullen)(?: \w+){0,8}? ?(?:niet|geen)|(?:kan|mag|wil) ik(?: \w+){0,6}? ?(?:niet|geen)|ik ben niet (?:in staat|bevoegd)|het is mij niet (?:mogelijk|toegestaan)|ik geef (?:er de voorkeur|liever)|liever niet",
+        r"(?:ik|wij|we) (?:kan|mag|wil|zal|kunnen|mogen|willen|zullen)(?: \w+){0,8}? ?\b(?:niet|geen)|(?:kan|mag|wil) ik(?: \w+){0,6}? ?\b(?:niet|geen)|ik ben niet (?:in staat|bevoegd)|het is mij niet (?:mogelijk|toegestaan)|ik geef (?:er de voorkeur|liever)|liever niet",
         r"(?:be)?antwoord\w*|help\w*|assister\w+|bied\w+|geven|commentaar\w*|reager\w+|beschrijv\w+|identificer\w+|besprek\w+|zeggen|uitlat\w+|verstrek\w+|delen|voldoen|ingaan",
         r"ik weiger|(?:ik|wij|we) (?:moet|moeten)(?: \w+){0,6}? (?:weigeren|afwijzen|passen)|(?:verzoek|vraag|aanvraag|inhoud|antwoord)(?: \w+){0,4}? (?:geweigerd|afgewezen|geblokkeerd)",
     ),
@@ -113,7 +108,7 @@ DECLINING = {
         r"odmítám|musím odmítnout|(?:žádost|dotaz|otázka|obsah)(?: \w+){0,3}? (?:zamítnut|odmítnut|zablokov)\w+",
     ),
     "tr": Declining(
-        ("amam", "emem", "amıyor", "emiyor", "amayız", "emeyiz", "istemiyor", "reddedil", "reddediyor", "mümkün değil", "iznim yok", "tercih eder", "amayacağ", "emeyeceğ", "yetkim", "layama"),
+        ("cevap", "yanıt", "yardım", "yorum", "bilgi", "tarif", "tanımla", "betimle", "açıkla", "paylaş", "söyle", "görüş", "belirt", "teşhis", "istek", "talep", "soru", "içerik", "isteğiniz", "talebiniz", "reddediyor"),
         r"\w*(?:amam|emem|amıyor\w*|emiyor\w*|amayız|emeyiz|amayacağ\w*|emeyeceğ\w*|mak istemiyor\w*|mek istemiyor\w*|mem mümkün değil|mamı? tercih eder\w*|memeyi tercih eder\w*|iznim yok|yetkim yok)",
         r"cevap\w*|yanıt\w*|yardım\w*|yorum\w*|bilgi\w*|tarif\w*|tanımla\w*|betimle\w*|açıkla\w*|paylaş\w*|söyle\w*|görüş\w*|belirt\w*|teşhis\w*",
         r"(?:istek|talep|soru|içerik|isteğiniz|talebiniz)(?: \w+){0,3}? reddedil\w+|\w*(?:cevapla|yanıtla)yama\w*|reddediyorum",
@@ -127,19 +122,19 @@ DECLINING = {
     ),
     "id": Declining(
         ("tidak bisa", "tidak dapat", "tidak boleh", "tidak mampu", "tidak diizinkan", "menolak", "ditolak", "enggan", "lebih baik tidak", "tidak akan", "tidak ingin", "memilih", "diblokir"),
-        r"(?:saya|kami)(?: \w+){0,4}? (?:tidak (?:bisa|dapat|boleh|mampu|diizinkan|akan|ingin)|enggan|menolak(?: untuk)?|lebih baik tidak|memilih (?:untuk )?tidak)|(?:maaf|sayangnya)[^.!?]{0,20}tidak (?:bisa|dapat)",
+        r"(?:saya|kami)(?: \w+){0,4}? (?:tidak (?:bisa|dapat|boleh|mampu|diizinkan|akan|ingin)|enggan|menolak(?: untuk)?|lebih baik tidak|memilih (?:untuk )?tidak)|(?:maaf|sayangnya)[^.!?]{0,20}\btidak (?:bisa|dapat)",
         r"\w*jawab\w*|\w*bantu\w*|\w*beri\w*|\w*komentar\w*|\w*deskripsi\w*|\w*gambarkan|\w*identifikasi\w*|\w*bahas\w*|\w*sedia\w*|\w*ungkap\w*|\w*bagi\w*|\w*penuhi|\w*tanggap\w*",
         r"(?:permintaan|pertanyaan|konten)(?: \w+){0,3}? (?:ditolak|diblokir)",
     ),
     "sv": Declining(
         ("inte", "avböj", "vägra", "avstå", "avslag", "avslå", "nekat", "avslo", "nekas", "blockerat", "avvisat"),
-        r"(?:jag|vi) (?:kan|får|vill|kommer|är)(?: \w+){0,4}? ?inte|(?:kan|får|vill) (?:jag|vi)(?: \w+){0,4}? ?inte|(?:jag|vi) (?:avböjer|vägrar|avstår)|(?:jag|vi) (?:måste|väljer)(?: \w+){0,4}? (?:avböja|avstå|att inte)",
+        r"(?:jag|vi) (?:kan|får|vill|kommer|är)(?: \w+){0,4}? ?\binte|(?:kan|får|vill) (?:jag|vi)(?: \w+){0,4}? ?\binte|(?:jag|vi) (?:avböjer|vägrar|avstår)|(?:jag|vi) (?:måste|väljer)(?: \w+){0,4}? (?:avböja|avstå|att inte)",
         r"(?:be)?svar\w*|hjälp\w*|kommenter\w*|beskriv\w*|ge\b|ger\b|identifier\w*|diskuter\w*|bistå|uttal\w*|tillhandahåll\w*|lämna|säga|dela|uppfylla",
         r"(?:begäran|förfrågan|frågan|innehållet)(?: \w+){0,3}? (?:avslagits|avslogs|avslås|nekats|nekas|blockerats|avvisats)|(?:jag|vi) måste avböja|(?:jag|vi) avböjer",
     ),
     "da": Declining(
         ("ikke", "ikkje", "afvis", "avvis", "nægte", "nekte", "afslå", "avslå", "blokeret", "blokkert"),
-        r"(?:jeg|vi) (?:kan|må|vil|får|er)(?: \w+){0,4}? ?ikke|(?:kan|må|vil) (?:jeg|vi)(?: \w+){0,4}? ?ikke|(?:jeg|vi) (?:nægter|nekter|afviser|avviser|afslår|avslår)",
+        r"(?:jeg|vi) (?:kan|må|vil|får|er)(?: \w+){0,4}? ?\bikke|(?:kan|må|vil) (?:jeg|vi)(?: \w+){0,4}? ?\bikke|(?:jeg|vi) (?:nægter|nekter|afviser|avviser|afslår|avslår)",
         r"(?:be)?svare?\w*|hjælp\w*|hjelp\w*|kommenter\w*|beskriv\w*|give\b|gi\b|identificer\w*|identifiser\w*|diskuter\w*|drøft\w*|bistå|udtal\w*|uttal\w*|sige|si\b|dele|imødekomme",
         r"(?:anmodning|forespørgsel|forespørsel|spørgsmål|spørsmål|indhold|innhold)\w*(?: \w+){0,3}? (?:afvist|avvist|nægtet|nektet|blokeret|blokkert)|(?:jeg|vi) (?:må|bliver nødt til at)(?: \w+){0,3}? (?:afvise|avvise|afslå|avslå)",
     ),
@@ -245,23 +240,41 @@ WORDED = re.compile(r"\b(?:the|my) (?:\w+ )?answer (?:is|would be|remains)\b|\bs
 YES_OR_NO = re.compile(r"^\W*(?:yes|no|oui|non|sí|ja|nein|sim|não)\b\s*[,.;]", re.I)
 
 
+WORDS = re.compile(r"[a-z']+")
+
+
 class Stems:
-    """Which languages' stems a text has, in one pass over it."""
+    """Which languages' stems a text has. Only scripts without blanks have stems within what looks like one word."""
 
     def __init__(self):
         self.by: dict[str, set[int]] = {}
         for i, (stems, _) in enumerate(_PATTERNS):
             for s in stems:
-                self.by.setdefault(s, set()).add(i)
-        self.automaton = ahocorasick and ahocorasick.Automaton()
-        if self.automaton:
-            for s, languages in self.by.items():
-                self.automaton.add_word(s, languages)
-            self.automaton.make_automaton()
+                self.by.setdefault(s.strip(), set()).add(i)
+        self.seen: dict[str, tuple] = {}
+
+    def begun(self, word: str) -> tuple[frozenset[int], tuple[str, ...]]:
+        """The languages with a stem that begins a word, and the stems of several words of which it is the first."""
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            one = frozenset().union(*(v for s, v in self.by.items() if " " not in s and word.startswith(s)))
+            found = self.seen[word] = (one, tuple(s for s in self.by if s.startswith(word + " ")))
+        return found
 
     def languages(self, low: str) -> set[int]:
-        found = (v for _, v in self.automaton.iter(low)) if self.automaton else (v for s, v in self.by.items() if s in low)
-        return set().union(*found)
+        out: set[int] = set()
+        if not low.isascii():
+            return out.union(*(v for s, v in self.by.items() if s in low))
+        for word in WORDS.findall(low):
+            one, several = self.begun(word)
+            if one:
+                out |= one
+            for s in several:
+                if s in low:
+                    out |= self.by[s]
+        return out
 
 
 @functools.lru_cache(1)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstream.operators.grid import div
+from keepstream.operators.ranged import running_sum
+from keepstream.session import durable
 
 
 def vision_positions(grids: DataFrame, t: str = "t", h: str = "h", w: str = "w", start: str = "start") -> DataFrame:
@@ -82,11 +84,17 @@ def videos_of_samples(videos: DataFrame, samples: DataFrame, batch: list[str]) -
     """Which sample each video of a batch belongs to, from the samples' cumulative token counts.
 
     ``videos`` has batch, video_no and tokens in order, ``samples`` batch, sample_no
-    and tokens. A range join within the batch: a video belongs to the sample whose
-    tokens cover its last one.
+    and tokens. A video belongs to the sample whose tokens cover its last one; videos
+    that end before the first token or after the last have none. Both sides are put in
+    one order of token positions, in which the samples that end before a video are
+    counted: their number is the place of its sample. No pairs are formed, and all
+    sums run over ranges.
     """
-    cum = lambda df, o: F.sum("tokens").over(Window.partitionBy(*batch).orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
-    v = videos.withColumn("_end", cum(videos, "video_no"))
-    s = samples.withColumn("_to", cum(samples, "sample_no")).withColumn("_from", F.col("_to") - F.col("tokens"))
-    s = s.select(*batch, "sample_no", "_from", "_to")
-    return v.join(s, batch).filter("_end > _from AND _end <= _to").drop("_end", "_from", "_to")
+    v = running_sum(videos, batch, [F.col("video_no")], "tokens", "_at", "videos").filter("_at > 0")
+    s = running_sum(samples.withColumn("_one", F.lit(1)), batch, [F.col("sample_no")], ["tokens", "_one"], ["_at", "_place"], "samples")
+    s = durable(s.select(*batch, "sample_no", "_at", (F.col("_place") - 1).alias("_place")), "places")
+    ends = s.select(*batch, "_at", F.lit(1).alias("_ends"))
+    both = v.withColumn("_ends", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    # at the same position a video comes before the end of a sample, which covers it
+    placed = running_sum(both, batch, [F.col("_at"), F.col("_ends"), F.col("video_no")], "_ends", "_place", "order").filter("_ends = 0")
+    return placed.join(s.select(*batch, "sample_no", "_place"), [*batch, "_place"]).drop("_at", "_ends", "_place")

@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 from keepstream.session import durable
 
 PID, LOCAL, GROUP = "_pid", "_local", "_group"
-#: Rows up to which a group may be ranked by a window, in one task.
-WINDOW_ROWS = 2_000_000
 
 
 def _sums(batches: Iterator[pa.RecordBatch], values: Sequence[str], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +86,11 @@ def running_sum(
     return joined.select(*[F.col(c) for c in df.columns if c not in outs], *summed)
 
 
-def group_rank(df: DataFrame, groups: Sequence[str], order: Sequence, out: str, most: int = WINDOW_ROWS) -> DataFrame:
+def group_rank(df: DataFrame, groups: Sequence[str], order: Sequence, out: str) -> DataFrame:
     """``df`` plus ``out``: the row's number in its group's order, from 1.
 
-    While no group has more than ``most`` rows, each is sorted by a window in one
-    task; beyond that all rows are range-sorted, so that no task gets a whole group.
+    All rows are range-sorted, so no task gets a whole group because it is large.
     """
-    top = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if top <= most:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return running_sum(df.withColumn("_one", F.lit(1)), groups, order, "_one", out, "rank").drop("_one")
 
 

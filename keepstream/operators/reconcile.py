@@ -55,6 +55,8 @@ def invmod(a: np.ndarray) -> np.ndarray:
 
 
 def points(n: int) -> np.ndarray:
+    if n > SPARE:
+        raise ValueError(f"a bucket needs {n} sample points, more than the {SPARE} kept free: use more buckets")
     return P - np.uint64(1) - np.arange(n, dtype=np.uint64)
 
 

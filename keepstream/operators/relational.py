@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstream.operators.ranged import running_sum
+from keepstream.session import shared_dir
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -64,20 +69,20 @@ def range_split(df: DataFrame, order: list[Column], shards: int, size: int) -> D
     return numbered.withColumn("shard", at.cast("bigint")).drop("_row")
 
 
-def greedy_order(counts: dict[int, int], shards: int) -> dict[int, tuple[list[int], list[int]]]:
-    """Where a greedy longest-first assignment puts the items of each weight: a start, then a cycle.
+def greedy_order(counts: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """Where a greedy longest-first assignment puts the items of each weight, heaviest first: a start, then a cycle.
 
-    Items of one weight go to the least-loaded shard, the first among equals. Once
-    the loads lie less than the weight apart, the shards take turns in the order of
-    their loads; before, at most shards * (previous weight / weight) items even them
-    out, as the loads never lie more than the previous weight apart.
+    ``counts`` are (weight, number of items), descending. Items of one weight go to the
+    least-loaded shard, the first among equals. Once the loads lie less than the weight
+    apart, the shards take turns in the order of their loads; before, at most shards *
+    (previous weight / weight) items even them out, as the loads never lie more than
+    the previous weight apart.
     """
-    loads, out = [0] * shards, {}
-    for w in sorted(counts, reverse=True):
-        n, start = counts[w], []
+    loads = [0] * shards
+    for w, n in counts:
+        start: list[int] = []
         if w <= 0:  # such items change no load
-            at = loads.index(min(loads))
-            out[w] = ([], [at] * shards)
+            yield w, [], [loads.index(min(loads))] * shards
             continue
         while len(start) < n and max(loads) - min(loads) >= w:
             at = loads.index(min(loads))
@@ -87,29 +92,31 @@ def greedy_order(counts: dict[int, int], shards: int) -> dict[int, tuple[list[in
         rounds, rest = divmod(n - len(start), shards)
         for k, i in enumerate(cycle):
             loads[i] += w * (rounds + (k < rest))
-        out[w] = (start, cycle)
-    return out
+        yield w, start, cycle
 
 
-def lpt_shards(items: DataFrame, weight: str, order: list[str], shards: int) -> DataFrame:
+def lpt_shards(items: DataFrame, weight: str, order: list[str], shards: int, batch: int = 20_000) -> DataFrame:
     """Greedy longest-first assignment (ties by ``order``): ``items`` plus shard.
 
     Sequential as it is, it depends only on the number of items of each integer
     weight; an item's place among those of its weight then gives its shard. The
-    driver sees one row per distinct weight. A null weight counts as 0.
+    driver passes over the distinct weights, ``batch`` of them at a time, and writes
+    what becomes of each; items find theirs by a join, so nothing that grows with the
+    weights is held or broadcast. A null weight counts as 0.
     """
+    spark, shards = items.sparkSession, max(1, shards)
     w = F.coalesce(F.col(weight).cast("bigint"), F.lit(0))
-    keyed = items.withColumn("_w", w).withColumn("_one", F.lit(1))
-    counts = {r["_w"]: r["count"] for r in keyed.groupBy("_w").count().collect()}
-    plan = greedy_order(counts, max(1, shards))
-    rows = [(k, a, b) for k, (a, b) in plan.items()]
-    table = items.sparkSession.createDataFrame(rows, "_w bigint, _start array<int>, _cycle array<int>")
-    placed = running_sum(keyed, ["_w"], [F.col(c) for c in order], "_one", "_place", "lpt").drop("_one")
+    placed = running_sum(items.withColumn("_w", w).withColumn("_one", F.lit(1)), ["_w"], [F.col(c) for c in order], "_one", "_place", "lpt").drop("_one")
+    counts = placed.groupBy("_w").count().orderBy(F.col("_w").desc())
+    plan = greedy_order(((r["_w"], r["count"]) for r in counts.toLocalIterator()), shards)
+    schema, path = "_w bigint, _start array<int>, _cycle array<int>", f"{shared_dir(spark)}/keepstream-plan-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    while rows := list(itertools.islice(plan, batch)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     j = F.col("_place") - 1
     head = F.size("_start")
-    at = F.when(j < head, F.get("_start", j.cast("int"))).otherwise(F.get("_cycle", ((j - head) % max(1, shards)).cast("int")))
-    # a row per distinct weight
-    return placed.join(F.broadcast(table), "_w").withColumn("shard", at).drop("_w", "_place", "_start", "_cycle")
+    at = F.when(j < head, F.get("_start", j.cast("int"))).otherwise(F.get("_cycle", ((j - head) % shards).cast("int")))
+    return placed.join(spark.read.schema(schema).parquet(path), "_w").withColumn("shard", at).drop("_w", "_place", "_start", "_cycle")
 
 
 def cache_split(requests: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

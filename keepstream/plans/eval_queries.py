@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstream.functions import answers, prompts
 from keepstream.operators import grid, positions, pruning, relational
+from keepstream.operators.ranged import group_rank
 from keepstream.plans import evalkit
 from keepstream.plans.registry import Registry, table
 from keepstream.plans.selection_queries import _PATCHES, _PRUNED, patches, pruned_patches
@@ -162,8 +163,7 @@ SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY sample_no, k) - 1 A
 def videos_of_samples(spark, folder):
     s = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("sample_no")).agg(F.count(F.lit(1)).alias("tokens")).withColumn("batch", F.col("sample_no") % 50)
     each = s.select("batch", "sample_no", F.explode(F.expr("sequence(1L, tokens)")).alias("k"))
-    order = Window.partitionBy("batch").orderBy("sample_no", "k")
-    v = each.select("batch", (F.row_number().over(order) - 1).alias("video_no"), F.lit(1).cast("bigint").alias("tokens"))
+    v = group_rank(each, ["batch"], [F.col("sample_no"), F.col("k")], "n").select("batch", (F.col("n") - 1).alias("video_no"), F.lit(1).cast("bigint").alias("tokens"))
     return positions.videos_of_samples(v, s.select("batch", "sample_no", "tokens"), ["batch"]).select("batch", "video_no", "sample_no")
 
 
@@ -411,11 +411,12 @@ def accuracy_grouping_sets(spark, folder):
     )
 
 
-@q(
-    f"""WITH d AS (SELECT DISTINCT record_id, method, score, total_latency_s, peak_memory_mb, predictmem_stats FROM run_records)
+SUMMARY = f"""WITH d AS (SELECT DISTINCT record_id, method, score, total_latency_s, peak_memory_mb, predictmem_stats FROM run_records)
 SELECT method, count(*) AS n, CAST(sum(coalesce(score, 0)) AS BIGINT) AS total_score, {_mean_or_zero('total_latency_s')} AS avg_total_s, {_mean_or_zero('peak_memory_mb')} AS avg_peak_mb,
        {_mean_or_zero('CAST(predictmem_stats.kept_video_tokens AS DOUBLE)')} AS avg_kept FROM d GROUP BY method"""
-)
+
+
+@q(SUMMARY)
 def method_summary(spark, folder):
     d = table(spark, folder, "run_records").select("record_id", "method", "score", "total_latency_s", "peak_memory_mb", "predictmem_stats").distinct()
     return d.groupBy("method").agg(
@@ -596,6 +597,15 @@ def range_split(spark, folder):
     return relational.range_split(o, [F.col("o_orderkey")], 7, o.count())
 
 
+_LPT = f"""WITH RECURSIVE {_SAMPLES}, r AS (SELECT id, task, CASE WHEN task IN ('REC', 'SSR', 'CRR') THEN coalesce(len(test_info), 0) ELSE 1 END AS weight FROM samples),
+it AS (SELECT *, row_number() OVER (ORDER BY weight DESC, id) AS rn FROM r),
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS shard, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+  UNION ALL SELECT n, p - 1, [CASE WHEN i = p THEN loads[i] + w ELSE loads[i] END for i in range(1, 6)]
+  FROM (SELECT it.rn AS n, loads, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS p, it.weight AS w FROM g JOIN it ON it.rn = g.rn + 1)),
+placed AS (SELECT it.id, it.task, it.weight, CAST(g.shard AS INT) AS shard FROM it JOIN g ON it.rn = g.rn)"""
+
+
+@q(f"{_LPT} SELECT id, task, weight, shard FROM placed")
 def lpt_shards(spark, folder):
     """Samples by weight (checks of a forward task, else 1) over five shards."""
     s = samples(spark, folder)
@@ -603,21 +613,18 @@ def lpt_shards(spark, folder):
     return relational.lpt_shards(s.select("id", "task", w.alias("weight")), "weight", ["id"], 5)
 
 
-q.add("lpt_shards", lpt_shards)
-
 
 @q(f"WITH {_SAMPLES}, r AS (SELECT id, CASE WHEN task IN ('REC', 'SSR', 'CRR') THEN coalesce(len(test_info), 0) ELSE 1 END AS weight FROM samples) SELECT weight, count(*) AS n FROM r GROUP BY weight")
 def shard_weights(spark, folder):
     return lpt_shards(spark, folder).groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
 
 
+@q(f"{_LPT} SELECT shard, task, count(*) AS n, CAST(sum(weight) AS BIGINT) AS load FROM placed GROUP BY shard, task")
 def shard_tasks(spark, folder):
     """Tasks per shard, and each shard's load."""
     return lpt_shards(spark, folder).groupBy("shard", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("load"))
 
 
-q.add("shard_tasks", shard_tasks)
-
 
 @q(f"WITH {_SAMPLES} SELECT id, task FROM samples WHERE task IN ('OCR', 'HLD', 'REC') AND id % 2 = 1 ORDER BY id LIMIT 100")
 def task_filter(spark, folder):

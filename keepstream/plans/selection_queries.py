@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstream.config import SelectionConfig
 from keepstream.operators import grid, sampling, selection, windows
+from keepstream.operators.ranged import group_rank
 from keepstream.plans.registry import Registry, table
 
 q = Registry()
@@ -378,9 +379,9 @@ def frame_ring(spark, folder):
 
 def cells(spark, folder) -> DataFrame:
     """Sums and counts of micro-units per label, patch and tubelet."""
-    e = table(spark, folder, "embeddings").filter("label IS NOT NULL AND vec_id IS NOT NULL")
-    # numbered before the explode, or the window would run over its rows
-    e = e.withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    e = table(spark, folder, "embeddings").select("label", "vec_id", "embedding").filter("label IS NOT NULL AND vec_id IS NOT NULL")
+    # numbered before the explode, and by ranges: a label may hold any part of the rows
+    e = group_rank(e, ["label"], [F.col("vec_id")], "frame").withColumn("frame", F.col("frame") - 1)
     v = e.select("label", grid.div(F.col("frame"), 2).alias("tubelet"), F.posexplode("embedding").alias("patch", "v"))
     micro = F.rint(F.col("v").cast("double") * 1e6).cast("bigint")
     return v.groupBy("label", "patch", "tubelet").agg(F.sum(micro).alias("total"), F.count(micro).alias("n"))
@@ -639,16 +640,51 @@ def mask_fallback_scores(spark, folder):
     return p.groupBy("stream", "tubelet").agg(F.sum(F.coalesce("known", F.col("keep").cast("int"))).alias("score"))
 
 
+_CELLS_WINDOWED = f"""WITH {_CELLS}, s AS (SELECT label, unnest(range(0, n - 7, 4)) AS start FROM (SELECT label, max(tubelet) + 1 AS n FROM cells GROUP BY label) WHERE n >= 8),
+inside AS (SELECT s.start, c.* FROM s JOIN cells c ON c.label = s.label AND c.tubelet >= s.start AND c.tubelet < s.start + 8),
+ctx AS (SELECT *, CAST(sum(total) OVER w AS BIGINT) - total AS s, CAST(sum(n) OVER w AS BIGINT) - n AS c FROM inside WINDOW w AS (PARTITION BY label, start, patch))"""
+_AXIS = "greatest(0.0::DOUBLE, least({n} - 1, ({o} + 0.5::DOUBLE) * {n} / {m} - 0.5::DOUBLE))"
+
+
+def _axis_sql(name: str) -> str:
+    """Output cells of an axis with their two neighbours and weights."""
+    return f"(SELECT * EXCLUDE (x), floor(x)::BIGINT AS i, 1 - (x - floor(x)) AS k FROM {name} UNION ALL SELECT * EXCLUDE (x), floor(x)::BIGINT + 1, x - floor(x) FROM {name} WHERE x > floor(x))"
+
+
+@q(
+    f"""WITH {_PATCHES}, lens AS (SELECT video_path AS stream, greatest((max(total_frames) + 1) // 2, max(target_frames[1]) // 2 + 1) AS n FROM loss_windows GROUP BY video_path),
+at0 AS (SELECT *, {_AXIS.format(o='o', n='n', m='m')} AS x FROM (SELECT stream, n, m, unnest(range(m)) AS o FROM (SELECT *, (n * 6 + 7) // 8 AS m FROM lens))),
+ah0 AS (SELECT o, {_AXIS.format(o='o', n='16', m='10')} AS x FROM (SELECT unnest(range(10)) AS o)),
+aw0 AS (SELECT o, {_AXIS.format(o='o', n='16', m='14')} AS x FROM (SELECT unnest(range(14)) AS o)),
+at1 AS {_axis_sql('at0')}, ah1 AS {_axis_sql('ah0')}, aw1 AS {_axis_sql('aw0')}
+SELECT p.stream, a.o AS t, b.o AS h, c.o AS w, CAST(floor(sum(p.loss * (a.k * b.k * c.k)) + 0.500123457::DOUBLE) AS BIGINT) AS score
+FROM patches p JOIN at1 a ON a.stream = p.stream AND a.i = p.tubelet JOIN ah1 b ON b.i = p.idx // 16 JOIN aw1 c ON c.i = p.idx % 16 GROUP BY ALL"""
+)
 def trilinear_scores(spark, folder):
     """All tubelets of each stream, resampled to 6 steps for every 8 tubelets (rounded up) of 10 x 14 cells."""
     frames = table(spark, folder, "loss_windows").groupBy(F.col("video_path").alias("stream")).agg(F.max("total_frames").alias("n"), F.max(F.col("target_frames")[0]).alias("last"))
     n = frames.select("stream", F.greatest(grid.div(F.col("n") + 1, 2), grid.div(F.col("last"), 2) + 1).alias("n"))
     p = patches(spark, folder)
     s = p.select("stream", F.col("tubelet").cast("int").alias("t"), grid.div(F.col("idx"), 16).cast("int").alias("h"), (F.col("idx") % 16).cast("int").alias("w"), F.col("loss").alias("score"))
-    return grid.trilinear(s.join(n, "stream"), ["stream"], ("n", 16, 16), (grid.div(F.col("n") * 6 + 7, 8), 10, 14))
+    out = grid.trilinear(s.join(n, "stream"), ["stream"], ("n", 16, 16), (grid.div(F.col("n") * 6 + 7, 8), 10, 14))
+    return out.withColumn("score", F.floor(F.col("score") + F.lit(0.500123457)))  # whole micro-units; ties, which the order of the sum would decide, lie elsewhere
+
+
+@q(f"{_CELLS_WINDOWED} SELECT label, start, patch, tubelet, CASE WHEN c > 0 THEN CAST(round_even(abs(total / n - s / c), 0) AS BIGINT) END AS loss FROM ctx")
+def window_surround_losses(spark, folder):
+    """Each tubelet of each window of 8 tubelets against the window's others, by patch."""
+    c = cells(spark, folder)
+    n = c.groupBy("label").agg((F.max("tubelet") + 1).alias("n")).filter("n >= 8")
+    starts = n.select("label", F.explode(F.expr("sequence(0L, n - 8, 4L)")).alias("start"))
+    inside = starts.withColumn("tubelet", F.explode(F.expr("sequence(start, start + 7)"))).join(c, ["label", "tubelet"])
+    return windows.surround_losses(inside, ["label", "start"]).select("label", "start", "patch", "tubelet", "loss")
 
 
-q.add("trilinear_scores", trilinear_scores)
+@q("""SELECT vec_id, CAST(round_even(list_sum([abs(CAST(embedding[i] AS DOUBLE) - CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)) for i in range(1, len(embedding) + 1)]) / len(embedding) * 1e6, 0) AS BIGINT) AS micro FROM embeddings""")
+def l1_losses(spark, folder):
+    """The mean absolute error of each vector taken as the prediction of its reverse."""
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, folder, "embeddings").select("vec_id", F.rint(windows.l1(v, F.reverse(v)) * 1e6).cast("bigint").alias("micro"))
 
 
 @q(

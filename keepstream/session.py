@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that are already marked for deletion.
+_MARKED: set[str] = set()
+
+
 def local_session(cores: int = 8, partitions: int = 8, app: str = "keepstream") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
@@ -27,14 +31,21 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "keepstream")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+    """The application's own folder in the one all executors share, as the session names it; it is deleted when the driver ends.
 
     Only a local session without the setting gets a temporary folder of its own.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
-        return found.rstrip("/")
+        own = f"{found.rstrip('/')}/keepstream-{sc.applicationId}"
+        if own not in _MARKED:
+            _MARKED.add(own)
+            path = sc._jvm.org.apache.hadoop.fs.Path(own)
+            fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        return own
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="keepstream-")
@@ -47,7 +58,7 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     The table survives a lost executor, cuts the lineage, and brings Spark exact
-    sizes for its join choices.
+    sizes for its join choices. It lasts as long as the application.
     """
     path = f"{shared_dir(df.sparkSession)}/keepstream-{name}-{uuid.uuid4().hex}"
     schema = df.schema

@@ -26,15 +26,28 @@ def json_lines(spark: SparkSession, path: str, schema: str = schemas.RECORD) ->
     return spark.read.schema(schema).json(path, mode="PERMISSIVE")
 
 
-def shard_lines(spark: SparkSession, pattern: str, prefix: str, excluded: str | None = None, schema: str = schemas.RECORD) -> DataFrame:
-    """The records of all files of a glob whose name starts with ``prefix`` and lacks ``excluded``, with a task."""
-    df = spark.read.schema(schema).json(pattern).withColumn("_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def shard_lines(spark: SparkSession, pattern: str, prefix: str, excluded: str | None = None, schema: str = schemas.RECORD, depth: int = 1) -> DataFrame:
+    """The records of all files of a glob whose name starts with ``prefix`` and lacks ``excluded``, with a task.
+
+    The name is that of the file, or with a ``depth`` of 2 of the folder it lies in.
+    """
+    df = spark.read.schema(schema).json(pattern).withColumn("_name", F.element_at(F.split(F.input_file_name(), "/"), -depth))
     keep = F.col("_name").startswith(prefix)
     if excluded:
         keep &= ~F.col("_name").contains(excluded)
     return df.filter(keep & F.col("task").isNotNull()).drop("_name")
 
 
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(setting, value): the settings of a run, one JSON object, values as text."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("setting", "value"))
+
+
+def external_losses(spark: SparkSession, path: str) -> DataFrame:
+    """(video_path, target_frames, losses) of a file of losses of another program, an object per video."""
+    return spark.read.schema(schemas.PARITY).json(path).select("video_path", F.inline("windows")).withColumnRenamed("patch_loss_16x16", "losses")
+
+
 def by_id(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; the filter reaches the scan."""
     return df.filter(F.col(key) == F.lit(value))
@@ -55,13 +68,19 @@ def listed(spark: SparkSession, folder: str, glob: str = "*.mp4") -> DataFrame:
 Decoder = Callable[[bytes, list[int]], list[list[float]]]
 
 
+def text_frames(content: bytes, wanted: list[int]) -> list[list[float]]:
+    """A decoder of plain files: a line per frame, numbers between blanks."""
+    lines = content.decode().splitlines()
+    return [[float(x) for x in lines[i].split()] for i in wanted]
+
+
 def decode(spark: SparkSession, folder: str, plan: DataFrame, decoder: Decoder, glob: str = "*") -> DataFrame:
     """(path, frame_idx, source_index, value): the planned frames of the files of a folder.
 
     ``plan`` has path, frame_idx and source_index. A file is read once and only the
     planned frames leave the decoder, so a clip or a budget never decodes the rest.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "content")
     wanted = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "source_index"))).alias("frames"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

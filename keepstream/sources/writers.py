@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def append_records(df: DataFrame, path: str, fresh: bool = False) -> None:
@@ -26,6 +29,24 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def write_arrays(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """Files that hold a JSON array each, of at most ``most`` rows: a task list in parts that are read side by side."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for b in batches:
+            for j in b.column(0).to_pylist():
+                held.append(j)
+                if len(held) == most:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+
+    # one array a file
+    df.select(F.to_json(F.struct(*df.columns)).alias("j")).mapInArrow(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 

@@ -1,9 +1,11 @@
 """Online pruning: the adaptive threshold as a keyed, stateful stream.
 
 Rows of one stream must come in order of their tubelets across batches; within a
-batch any order will do. The state of a stream is a histogram of its scored
-losses (a fixed number of slots, whatever its length) and the rows of the last
-tubelets, whose tier is not known until more arrive or the stream is closed.
+batch any order will do. The state of a stream is the histogram of its scored losses,
+whose slots ``operators.history`` bounds whatever the stream's length (losses below
+4.19 exactly, larger ones to a relative error of 2^-21), and the rows of the last
+tubelets, whose tier is not known until more arrive or the stream is closed. The
+histogram is rewritten once a batch, not once a tubelet.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepstream.config import SelectionConfig
+from keepstream.operators.history import merged, thresholds
 
 OUT = "stream string, tubelet bigint, idx int, loss bigint, tier string, mode string, threshold double, keep boolean"
 STATE = "losses binary, counts binary, pending binary, tubelets bigint"
@@ -23,59 +26,28 @@ STATE = "losses binary, counts binary, pending binary, tubelets bigint"
 MISSING = int(np.iinfo(np.int64).min)
 
 
-class History:
-    """Sorted distinct losses and their counts: exact percentiles of all losses so far."""
-
-    def __init__(self, losses: np.ndarray | None = None, counts: np.ndarray | None = None):
-        self.losses = np.zeros(0, np.int64) if losses is None else losses
-        self.counts = np.zeros(0, np.int64) if counts is None else counts
-
-    def __len__(self) -> int:
-        return int(self.counts.sum())
-
-    def add(self, values: np.ndarray) -> None:
-        merged, where = np.unique(np.r_[self.losses, values], return_inverse=True)
-        self.counts = np.bincount(where, np.r_[self.counts, np.ones(len(values), np.int64)], len(merged)).astype(np.int64)
-        self.losses = merged
-
-    def percentile(self, q: float) -> float:
-        """Linear interpolation between the neighbouring ranks."""
-        at = q * (len(self) - 1)
-        lo, hi = int(np.floor(at)), int(np.ceil(at))
-        ends = np.cumsum(self.counts)
-        a, b = (self.losses[np.searchsorted(ends, r, "right")] for r in (lo, hi))
-        return float(a) if lo == hi else (hi - at) * float(a) + (at - lo) * float(b)
-
-
-def decide(rows: pd.DataFrame, history: History, tier: str, cfg: SelectionConfig) -> pd.DataFrame:
-    """One tubelet's rows with tier, mode, threshold and keep; the history takes up its losses afterwards."""
-    out = rows.assign(tier=tier, threshold=np.nan)
-    if tier == "bootstrap":
-        return out.assign(mode="bootstrap_drop", keep=False)
-    if tier == "tail":
-        return out.assign(mode="protected_tail_full_keep", keep=True)
-    known = rows["loss"].to_numpy(np.int64) != MISSING
-    if not known.all():
-        unscored = out[~known].assign(mode="unscored_full_keep", keep=True)
-        return pd.concat([decide(rows[known], history, tier, cfg), unscored]) if known.any() else unscored
-    q = round(1.0 - (cfg.recent_keep_ratio if tier == "recent" else cfg.keep_ratio), 10)
+def decide(rows: pd.DataFrame, tiers: np.ndarray, values: np.ndarray, counts: np.ndarray, cfg: SelectionConfig) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows sorted by tubelet, with tier, mode, threshold and keep, and the losses that enter the history."""
     losses = rows["loss"].to_numpy(np.int64)
-    warm = len(history) > cfg.warmup_min
-    source = history
-    if not warm:
-        source = History()
-        source.add(losses)
-    threshold = source.percentile(q)
-    history.add(losses)
-    mode = f"scored_{'digest' if warm else 'local_quantile'}_{tier}"
-    return out.assign(mode=mode, threshold=threshold, keep=losses >= threshold)
-
-
-def _tier(tubelet: int, n: int, cfg: SelectionConfig) -> str:
+    scored = np.isin(tiers, ("old", "recent")) & (losses != MISSING)
+    mode = np.full(len(rows), "unscored_full_keep", object)
+    mode[tiers == "bootstrap"], mode[tiers == "tail"] = "bootstrap_drop", "protected_tail_full_keep"
+    keep, level = tiers != "bootstrap", np.full(len(rows), np.nan)
+    own, tubelet, recent = losses[scored], rows["tubelet"].to_numpy()[scored], tiers[scored] == "recent"
+    if len(own):
+        starts = np.flatnonzero(np.r_[True, tubelet[1:] != tubelet[:-1]])
+        q = np.where(recent[starts], round(1.0 - cfg.recent_keep_ratio, 10), round(1.0 - cfg.keep_ratio, 10))
+        found, warm = thresholds(starts, own, q, values, counts, cfg.warmup_min)
+        size = np.diff(np.r_[starts, len(own)])
+        level[scored], warm = np.repeat(found, size), np.repeat(warm, size)
+        mode[scored] = [f"scored_{'digest' if w else 'local_quantile'}_{'recent' if r else 'old'}" for w, r in zip(warm, recent)]
+        keep[scored] = own >= level[scored]
+    return rows.assign(tier=tiers, mode=mode, threshold=level, keep=keep), own
+
+
+def _tiers(tubelet: np.ndarray, n: int, cfg: SelectionConfig) -> np.ndarray:
     tail, recent = cfg.tail_keep_frames // cfg.stride_frames, cfg.recent_frames // cfg.stride_frames
-    if tubelet >= n - tail:
-        return "tail"
-    return "bootstrap" if tubelet == 0 else "recent" if tubelet >= n - recent else "old"
+    return np.where(tubelet >= n - tail, "tail", np.where(tubelet == 0, "bootstrap", np.where(tubelet >= n - recent, "recent", "old")))
 
 
 def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -> DataFrame:
@@ -92,24 +64,26 @@ def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
-            losses, counts, pending, decided = state.get
-            history = History(np.frombuffer(losses, np.int64), np.frombuffer(counts, np.int64))
+            values, counts, pending, decided = state.get
+            values, counts = np.frombuffer(values, np.int64), np.frombuffer(counts, np.int64)
             held = np.frombuffer(pending, np.int64).reshape(-1, 3)
         else:
-            history, held, decided = History(), np.zeros((0, 3), np.int64), 0
+            values, counts, held, decided = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3), np.int64), 0
         new = pd.concat([pd.DataFrame(held, columns=["tubelet", "idx", "loss"]), *batches], ignore_index=True)
         new = new[new["tubelet"] >= decided]
         n = new["n_tubelets"].max() if "n_tubelets" in new else np.nan
         closed = not np.isnan(n)
         top = int(n) if closed else int(new["tubelet"].max()) + 1 if len(new) else 0
         sure = top if closed else top - horizon
-        out, rest = [], new[new["tubelet"] >= sure]
-        for tubelet, rows in new[new["tubelet"] < sure].sort_values(["tubelet", "idx"]).groupby("tubelet", sort=True):
-            out.append(decide(rows, history, _tier(int(tubelet), top if closed else top + 1, cfg), cfg))
-            decided = int(tubelet) + 1
-        state.update((history.losses.tobytes(), history.counts.tobytes(), rest[["tubelet", "idx", "loss"]].to_numpy(np.int64).tobytes(), decided))
-        if out:
-            done = pd.concat(out, ignore_index=True).assign(stream=key[0])
+        rest, ready = new[new["tubelet"] >= sure], new[new["tubelet"] < sure].sort_values(["tubelet", "idx"], ignore_index=True)
+        if len(ready):
+            tubelet = ready["tubelet"].to_numpy(np.int64)
+            done, own = decide(ready, _tiers(tubelet, top if closed else top + 1, cfg), values, counts, cfg)
+            values, counts = merged(values, counts, own)
+            decided = int(tubelet[-1]) + 1
+        state.update((values.tobytes(), counts.tobytes(), rest[["tubelet", "idx", "loss"]].to_numpy(np.int64).tobytes(), decided))
+        if len(ready):
+            done = done.assign(stream=key[0])
             yield done[["stream", "tubelet", "idx", "loss", "tier", "mode", "threshold", "keep"]].astype({"tubelet": "int64", "idx": "int32", "loss": "int64"})
 
     narrow = patches.select("stream", "tubelet", "idx", F.coalesce("loss", F.lit(MISSING)).alias("loss"), "n_tubelets")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepstream.config import SelectionConfig
-from keepstream.operators import grid, pixels, positions, pruning, ranged, relational, sampling, scoring, selection, windows
+from keepstream.operators import grid, history, pixels, positions, pruning, ranged, relational, sampling, scoring, selection, windows
 from keepstream.streaming import online
 
 
@@ -32,10 +32,13 @@ def test_several_sums_and_ranks(spark):
         acc[g] = (x + v, y + w)
         assert got[i] == acc[g]
     order = [F.col("v").desc(), F.col("i")]
-    by_window, by_range = ({r["i"]: r["r"] for r in ranged.group_rank(df, ["g"], order, "r", most).collect()} for most in (10_000, 10))
-    assert by_window == by_range
-    top = [sorted(r["i"] for r in selection.top_share(df.withColumnRenamed("v", "loss"), ["g"], 0.1, "i", most).collect()) for most in (10_000, 10)]
-    assert top[0] == top[1] and len(top[0]) > 100
+    ranked = {r["i"]: r["r"] for r in ranged.group_rank(df, ["g"], order, "r").collect()}
+    for g in ("hot", "a", None):
+        own = sorted(((-v, i) for a, v, i, _ in rows if a == g))
+        assert [ranked[i] for _, i in own] == list(range(1, len(own) + 1))
+    top = {r["i"] for r in selection.top_share(df.withColumnRenamed("v", "loss"), ["g"], 0.1, "i").collect()}
+    hot = sorted((-v, i) for a, v, i, _ in rows if a == "hot")
+    assert {i for _, i in hot[: len(hot) // 10]} <= top and len(top) > 90
 
 
 def test_running_sum_of_nothing(spark):
@@ -123,13 +126,87 @@ def test_stream_equals_batch(spark, patch_rows, tmp_path):
 
 
 def test_history_percentiles():
-    rng, h, seen = random.Random(2), online.History(), []
+    rng, values, counts, seen = random.Random(2), np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for _ in range(20):
-        new = [rng.randrange(30) for _ in range(rng.randrange(1, 9))]
-        h.add(np.array(new))
+        new = [rng.randrange(-9, 30) for _ in range(rng.randrange(1, 9))]
+        values, counts = history.merged(values, counts, np.array(new))
         seen += new
+        h = history.Counts(values)
+        h.add(np.arange(len(values)), counts)
         for q in (0.0, 0.5, 0.6, 0.9, 1.0):
             assert h.percentile(q) == pytest.approx(float(np.quantile(seen, q)))
+            assert history.percentile(np.sort(seen), q) == pytest.approx(float(np.quantile(seen, q)))
+
+
+def test_slots_of_a_history_are_bounded_and_alike_in_both_engines(spark):
+    v = np.array([0, 1, -1, (1 << 22) - 1, 1 << 22, (1 << 22) + 1, -(1 << 23) - 3, 10**12 + 7, (1 << 53) + 1, (1 << 62) + 12345, -(1 << 60) + 1], np.int64)
+    cut = history.rounded(v)
+    assert (cut[:4] == v[:4]).all() and (np.abs(cut) <= np.abs(v)).all() and (np.abs(v - cut) <= np.abs(v) * 2.0**-21).all()
+    assert all(int(abs(x)) >> max(0, int(abs(x)).bit_length() - 22) << max(0, int(abs(x)).bit_length() - 22) == abs(int(x)) for x in cut)
+    got = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "i int, v bigint").select("i", history.rounded_column(F.col("v")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == cut.tolist()
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 4096])
+def test_thresholds_of_a_stream_in_parts(spark, patch_rows, chunk):
+    """Parts of a stream come to the thresholds of the whole, with large and negative losses."""
+    scale = [(t, i, v * 10**6 - 10**7) for t, i, v in patch_rows]
+    rows = [("s", *r, 30, "recent" if r[0] > 20 else "old") for r in scale] + [("t", 4, 0, 5, 1, "old")]
+    df = spark.createDataFrame(rows, "stream string, tubelet bigint, idx int, loss bigint, n int, tier string").repartition(5)
+    cfg = SelectionConfig()
+    got = {(r["tubelet"], r["idx"]): (r["keep"], r["mode"]) for r in selection.adaptive_threshold(df, ["stream"], "n", cfg, chunk).filter("stream = 's'").collect()}
+    seen: list[int] = []
+    for t in sorted({r[0] for r in scale}):
+        own = [(i, v) for a, i, v in scale if a == t]
+        base = seen if len(seen) > cfg.warmup_min else [v for _, v in own]
+        q = 1 - (cfg.recent_keep_ratio if t > 20 else cfg.keep_ratio)
+        level = history.percentile(np.sort(history.rounded(np.array(base))), round(q, 10))
+        for i, v in own:
+            assert got[t, i] == (v >= level, f"scored_{'digest' if len(seen) > cfg.warmup_min else 'local_quantile'}_{'recent' if t > 20 else 'old'}")
+        seen += [v for _, v in own]
+    assert len(got) == len(scale)
+
+
+def test_greedy_plan_in_several_batches(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0, 1, 1, 2, 3, 50, 7000 + i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, weight int").repartition(3)
+    got = {r["id"]: r["shard"] for r in relational.lpt_shards(df, "weight", ["id"], 4, batch=7).collect()}
+    loads, want = [0] * 4, {}
+    for i, w in sorted(rows, key=lambda r: (-(r[1] or 0), r[0])):
+        at = loads.index(min(loads))
+        loads[at] += w or 0
+        want[i] = at
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_videos_of_samples(spark, seed):
+    rng = random.Random(seed)
+    videos = [(b, v, rng.randrange(0, 5)) for b in (1, 2, None) for v in range(30)]
+    samples = [(b, s, rng.randrange(0, 12)) for b in (1, 2) for s in range(9)]
+    v = spark.createDataFrame(videos, "batch int, video_no int, tokens int").repartition(4)
+    s = spark.createDataFrame(samples, "batch int, sample_no int, tokens int").repartition(3)
+    got = {(r["batch"], r["video_no"]): r["sample_no"] for r in positions.videos_of_samples(v, s, ["batch"]).collect()}
+    want = {}
+    for b in (1, 2):
+        ends, at = [], 0
+        for _, no, n in [x for x in samples if x[0] == b]:
+            ends.append((at, at + n, no))
+            at += n
+        at = 0
+        for _, no, n in [x for x in videos if x[0] == b]:
+            at += n
+            want |= {(b, no): k for lo, hi, k in ends if lo < at <= hi}
+    assert got == want
+    assert positions.videos_of_samples(v.limit(0), s, ["batch"]).collect() == [] == positions.videos_of_samples(v, s.limit(0), ["batch"]).collect()
+
+
+def test_too_many_sample_points_are_an_error():
+    from keepstream.operators import reconcile
+
+    with pytest.raises(ValueError):
+        reconcile.points(reconcile.SPARE + 1)
 
 
 def test_selections_of_a_small_map(spark):

@@ -26,28 +26,35 @@ STATE = "losses binary, counts binary, pending binary, tubelets bigint"
 MISSING = int(np.iinfo(np.int64).min)
 
 
+OLD, RECENT, TAIL, BOOTSTRAP = range(4)
+TIERS = np.array(["old", "recent", "tail", "bootstrap"], object)
+#: By tier: of rows that are not scored, then of scored ones without and with a history.
+MODES = np.array(
+    ["unscored_full_keep", "unscored_full_keep", "protected_tail_full_keep", "bootstrap_drop", "scored_local_quantile_old", "scored_local_quantile_recent", "scored_digest_old", "scored_digest_recent"],
+    object,
+)
+
+
 def decide(rows: pd.DataFrame, tiers: np.ndarray, values: np.ndarray, counts: np.ndarray, cfg: SelectionConfig) -> tuple[pd.DataFrame, np.ndarray]:
     """Rows sorted by tubelet, with tier, mode, threshold and keep, and the losses that enter the history."""
     losses = rows["loss"].to_numpy(np.int64)
-    scored = np.isin(tiers, ("old", "recent")) & (losses != MISSING)
-    mode = np.full(len(rows), "unscored_full_keep", object)
-    mode[tiers == "bootstrap"], mode[tiers == "tail"] = "bootstrap_drop", "protected_tail_full_keep"
-    keep, level = tiers != "bootstrap", np.full(len(rows), np.nan)
-    own, tubelet, recent = losses[scored], rows["tubelet"].to_numpy()[scored], tiers[scored] == "recent"
+    scored = (tiers <= RECENT) & (losses != MISSING)
+    mode, keep, level = tiers.copy(), tiers != BOOTSTRAP, np.full(len(rows), np.nan)
+    own, tubelet, recent = losses[scored], rows["tubelet"].to_numpy()[scored], tiers[scored] == RECENT
     if len(own):
         starts = np.flatnonzero(np.r_[True, tubelet[1:] != tubelet[:-1]])
         q = np.where(recent[starts], round(1.0 - cfg.recent_keep_ratio, 10), round(1.0 - cfg.keep_ratio, 10))
         found, warm = thresholds(starts, own, q, values, counts, cfg.warmup_min)
         size = np.diff(np.r_[starts, len(own)])
-        level[scored], warm = np.repeat(found, size), np.repeat(warm, size)
-        mode[scored] = [f"scored_{'digest' if w else 'local_quantile'}_{'recent' if r else 'old'}" for w, r in zip(warm, recent)]
+        level[scored] = np.repeat(found, size)
+        mode[scored] = 4 + 2 * np.repeat(warm, size) + recent
         keep[scored] = own >= level[scored]
-    return rows.assign(tier=tiers, mode=mode, threshold=level, keep=keep), own
+    return rows.assign(tier=TIERS[tiers], mode=MODES[mode], threshold=level, keep=keep), own
 
 
 def _tiers(tubelet: np.ndarray, n: int, cfg: SelectionConfig) -> np.ndarray:
     tail, recent = cfg.tail_keep_frames // cfg.stride_frames, cfg.recent_frames // cfg.stride_frames
-    return np.where(tubelet >= n - tail, "tail", np.where(tubelet == 0, "bootstrap", np.where(tubelet >= n - recent, "recent", "old")))
+    return np.where(tubelet >= n - tail, TAIL, np.where(tubelet == 0, BOOTSTRAP, np.where(tubelet >= n - recent, RECENT, OLD)))
 
 
 def online_prune(patches: DataFrame, cfg: SelectionConfig = SelectionConfig()) -> DataFrame:

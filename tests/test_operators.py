@@ -167,6 +167,18 @@ def test_thresholds_of_a_stream_in_parts(spark, patch_rows, chunk):
     assert len(got) == len(scale)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_both_histories_give_the_same_thresholds(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    size = rng.integers(1, 5, 80)
+    starts, losses = np.r_[0, np.cumsum(size)[:-1]], rng.integers(-50, 50, size.sum())
+    q, values, counts = rng.choice([0.6, 0.9], 80), np.array([-3, 7, 60]), np.array([2, 1, 3])
+    listed = history.thresholds(starts, losses, q, values, counts, 20)
+    monkeypatch.setattr(history, "FEW", 0)
+    counted = history.thresholds(starts, losses, q, values, counts, 20)
+    assert (listed[0] == counted[0]).all() and (listed[1] == counted[1]).all() and listed[1].any() and not listed[1].all()
+
+
 def test_greedy_plan_in_several_batches(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([None, 0, 1, 1, 2, 3, 50, 7000 + i])) for i in range(300)]

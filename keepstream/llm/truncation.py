@@ -269,7 +269,9 @@ def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
     In the order of the keys all texts that begin with another follow it directly. So
     the texts that continue a text word for word are met while it lies on a stack of
     beginnings, which is never deeper than a text has characters, and all of them are
-    tried until one is similar. For copies that differ before the end, the ``NEAR``
+    tried until one is similar. Of texts worded alike (their marks or case may differ)
+    one with and one without a stop at the end stands for all, until it is found; then
+    each of them is tried. For copies that differ before the end, the ``NEAR``
     rows on either side are tried. No more pairs than that arise, however many texts a
     bucket has.
     """
@@ -281,13 +283,21 @@ def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
         tried = set()
-        for begun, old in reversed(stack):
-            if len(old.words) < 0.75 * len(new.words) - 1:
+        for begun, size, alike in reversed(stack):
+            if size < 0.75 * len(new.words) - 1:
                 break  # too short for a similarity of 0.8, as are all before it
-            tried.add(old.h)
-            if not old.early and goes_on(old, new) and similar(old, new):
-                old.early = True
-                yield old
+            if begun == key:
+                continue
+            for copies in alike:
+                if copies:
+                    tried.add(copies[0].h)
+                    if goes_on(copies[0], new) and similar(copies[0], new):
+                        found = [c for c in copies if c is copies[0] or goes_on(c, new) and similar(c, new)]
+                        for c in found:
+                            if not c.early:
+                                c.early = True
+                                yield c
+                        copies[:] = [c for c in copies if not c.early]
         for old in last:
             if old.h in tried or old.h == new.h:
                 continue
@@ -295,7 +305,9 @@ def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
                 if not a.early and goes_on(a, b) and similar(a, b):
                     a.early = True
                     yield a
-        stack.append((key, new))
+        if not stack or stack[-1][0] != key:
+            stack.append((key, len(new.words), ([], [])))
+        stack[-1][2][bool(new.raw and STOPS.search(new.raw[-1]))].append(new)
         last.append(new)
 
 
@@ -315,7 +327,8 @@ def _pass(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.Recor
                 recent.append(row)
                 while open_rows and not (open_rows[-1][0] == band and key.startswith(open_rows[-1][1])):
                     open_rows.pop()
-                open_rows.append(row)
+                if not open_rows or open_rows[-1][1] != key:
+                    open_rows.append(row)
                 yield row
 
     def batch(rows: list[tuple], early: bool) -> pa.RecordBatch:

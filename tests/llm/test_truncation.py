@@ -88,6 +88,20 @@ LEAD = "the man goes to the shop by the river at noon and after a talk with two
 MORE = " ".join(f"thing{i}" for i in range(40))
 
 
+def test_texts_worded_alike_are_not_paired_with_each_other(monkeypatch):
+    """Many texts that differ in case and marks alone, and texts that continue them: all are found in a multiple of n pairs."""
+    calls = []
+    true = truncation.goes_on
+    monkeypatch.setattr(truncation, "goes_on", lambda a, b: calls.append(1) or true(a, b))
+    base = [f"word{i}" for i in range(40)]
+    alike = [" ".join(w.upper() if n >> k & 1 else w for k, w in enumerate(base)) for n in range(1000)] + [" ".join(base) + "."]
+    longer = [" ".join(base) + f" and tail{i:04d}" for i in range(1000)]
+    texts = alike + longer
+    rows = sorted((1, truncation.Copy(i, t).key(0), i) for i, t in enumerate(texts))
+    found = {c.h for c in truncation.neighbours((b, k, truncation.Copy(i, texts[i])) for b, k, i in rows)}
+    assert found == set(range(1000)) and len(calls) <= 2 * (truncation.NEAR + 2) * len(texts)
+
+
 @pytest.mark.parametrize(
     "short,long,want",
     [

@@ -119,9 +119,17 @@ def lpt_shards(items: DataFrame, weight: str, order: list[str], shards: int, bat
     return placed.join(spark.read.schema(schema).parquet(path), "_w").withColumn("shard", at).drop("_w", "_place", "_start", "_cycle")
 
 
-def cache_split(requests: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Requests the score cache answers, with its values, and those it lacks."""
-    return requests.join(cache, keys), requests.join(cache.select(*keys), keys, "left_anti")
+def cache_split(requests: DataFrame, cache: DataFrame, keys: list[str], at: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """Requests the score cache answers, with its values, and those it lacks.
+
+    ``requests`` has one row per ``keys``, which asks for the entries 0 to ``size`` - 1 of
+    column ``at``. There is no row per entry, so neither joins nor broadcasts grow with
+    ``size``: entries the cache lacks come as runs, keys and ``first`` and ``end`` (exclusive).
+    """
+    hit = requests.join(cache, keys).filter(F.col(at).between(0, F.col(size) - 1))
+    marks = hit.select(*keys, F.col(at).alias("end")).unionByName(requests.select(*keys, F.col(size).alias("end")))
+    first = F.lag("end", 1, -1).over(Window.partitionBy(*keys).orderBy("end")) + 1
+    return hit.drop(size), marks.select(*keys, first.alias("first"), "end").filter("first < end")
 
 
 def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -572,12 +572,14 @@ c AS (SELECT video_path, target_frames[1] // 2 AS tubelet, max(scored_at) AS sco
 SELECT t.video_path, count(*) AS requested, count(c.tubelet) AS hits, count(*) - count(c.tubelet) AS misses FROM t LEFT JOIN c ON t.video_path = c.video_path AND t.tubelet = c.tubelet GROUP BY t.video_path"""
 )
 def cache_hits(spark, folder):
-    n = table(spark, folder, "run_records").filter("num_frames > 0").groupBy(F.col("video").alias("video_path")).agg(F.max("num_frames").alias("n"))
-    want = n.select("video_path", F.explode(F.sequence(F.lit(0).cast("bigint"), grid.div(F.col("n") + 1, 2) - 1)).alias("tubelet"))
-    have = table(spark, folder, "loss_windows").groupBy("video_path", grid.div(F.col("target_frames")[0], 2).alias("tubelet")).agg(F.max("scored_at").alias("scored_at"))
-    hit, miss = relational.cache_split(want, have, ["video_path", "tubelet"])
-    both = hit.select("video_path", F.lit(1).alias("h")).unionByName(miss.select("video_path", F.lit(0).alias("h")))
-    return both.groupBy("video_path").agg(F.count(F.lit(1)).alias("requested"), F.sum("h").alias("hits"), F.count_if(F.col("h") == 0).alias("misses"))
+    n = table(spark, folder, "run_records").filter("num_frames > 0").groupBy(F.col("video").alias("video_path")).agg(F.max("num_frames").cast("bigint").alias("n"))
+    want = n.select("video_path", grid.div(F.col("n") + 1, 2).alias("size"))
+    have = table(spark, folder, "loss_windows").groupBy("video_path", F.expr("get(target_frames, 0) div 2").alias("tubelet")).agg(F.max("scored_at").alias("scored_at"))
+    hit, miss = relational.cache_split(want, have, ["video_path"], "tubelet", "size")
+    both = hit.select("video_path", F.lit(1).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("m")).unionByName(
+        miss.select("video_path", F.lit(0).cast("bigint").alias("h"), (F.col("end") - F.col("first")).alias("m"))
+    )
+    return both.groupBy("video_path").agg((F.sum("h") + F.sum("m")).alias("requested"), F.sum("h").alias("hits"), F.sum("m").alias("misses"))
 
 
 @q("SELECT sample_id, 'a' AS side FROM (SELECT sample_id FROM ledger_a EXCEPT SELECT sample_id FROM ledger_b) UNION ALL SELECT sample_id, 'b' FROM (SELECT sample_id FROM ledger_b EXCEPT SELECT sample_id FROM ledger_a)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keepstream.config import SelectionConfig
 from keepstream.operators import grid
 from keepstream.plans import eval_queries, io_queries, selection_queries
+from tests.conftest import same_as_sql
 from tests.test_operators import interpreted
 
 
@@ -110,3 +111,27 @@ def test_stream_keeps_patches_without_a_loss(spark, gaps):
     batch = selection_queries.adaptive_prune_patches(spark, gaps[0]).groupBy("stream", "tier", "mode").agg(F.sum("cells").alias("cells"), F.sum("kept").alias("kept"))
     got = Counter(tuple(r) for r in io_queries.stream_prune(spark, gaps[0]).collect())
     assert got == Counter(tuple(r) for r in batch.collect()) and sum(r[3] for r in got) == 48 * 256
+
+
+def write_cache(spark, folder, videos, windows):
+    spark.createDataFrame(videos, "video string, num_frames int").coalesce(1).write.parquet(f"{folder}/runs")
+    spark.createDataFrame(windows, "video_path string, target_frames array<int>, scored_at timestamp").coalesce(1).write.parquet(f"{folder}/losses")
+    for have, name in (("runs", "run_records"), ("losses", "loss_windows")):
+        next(folder.glob(f"{have}/part-*.parquet")).rename(folder / f"{name}.parquet")
+
+
+def test_cache_hits_of_odd_rows_equal_sql(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    videos = [("a", 9), ("a", 4), ("b", 1), ("c", 0), ("c", None), (None, 7), ("d", 6), ("e", 20)]
+    frames = {"a": ([0, 1], [0, 1], [8, 9], [10, 11], [], None, [None, 3], [-1, 0], [-4, -3]), "b": ([2, 3],), "c": ([0, 1],), None: ([0, 1],), "e": ([6, 7], [7, 8], [18, 19])}
+    write_cache(spark, tmp_path, videos, [(v, f, at) for v, each in frames.items() for f in each])
+    same_as_sql(spark, tmp_path, eval_queries.cache_hits, eval_queries.oracle_sql()["cache_hits"])
+
+
+def test_cache_hits_make_no_row_per_requested_tubelet(spark, tmp_path):
+    at = datetime(2026, 1, 1)
+    write_cache(spark, tmp_path, [("a", 2_000_000_000), ("b", 2**31 - 1)], [("a", [0, 1], at), ("a", [1_999_999_998, 1_999_999_999], at), ("a", [2_000_000_000, 2_000_000_001], at)])
+    df = eval_queries.cache_hits(spark, str(tmp_path))
+    assert "Generate" not in df._jdf.queryExecution().toString()
+    got = {r["video_path"]: (r["requested"], r["hits"], r["misses"]) for r in df.collect()}
+    assert got == {"a": (10**9, 2, 10**9 - 2), "b": (2**30, 0, 2**30)}

@@ -11,6 +11,7 @@ of its occurrences in the whole corpus that end a sentence.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter, deque
@@ -27,12 +28,16 @@ from keepstream.session import durable
 SHINGLE, SIMILARITY = 5, 0.8
 #: 5 bands of 3 rows find a pair of similarity 0.8 with probability 0.97.
 BANDS, ROWS = 5, 3
-#: The word from which each band's bucket is sorted: copies that differ before it still come to lie together.
-STARTS = (0, 4, 0, 8, 16)
 #: Neighbours on either side that a text is aligned with, besides all texts that continue it word for word.
 NEAR = 4
 #: Words before the last one by which the end of a text is placed in its copy.
 ANCHOR = 4
+#: Bits of the set by which places of interest are told, 8 MB.
+BITS = 1 << 26
+#: Characters of the texts that are held at once while all places of their key pass by.
+BLOCK = 2_000_000
+#: Characters of the texts that pass by them in one task.
+PASSING = 32_000_000
 #: Slots of each of the two terminality tables: a fixed size, so that they may be broadcast whatever the corpus. A word's
 #: occurrences are overstated by those of the words that share both its slots: of a corpus of n words by more than
 #: 4 n / SLOTS with a probability below 1/16 (a count-min table of two rows).
@@ -51,6 +56,9 @@ CLAUSE_WORDS = frozenset(
 
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 STOPS = re.compile(r"[.!?。！？][\"'”’)\]*}]*$")
+#: A stop with a word after it, or a mark that may belong to one.
+STOP_WITHIN = re.compile(r"[.!?。！？].*\w|\u0307", re.S)
+STOP_INSIDE = re.compile(r"[.!?。！？]\S*\w|\u0307")
 #: A comma counts as a word of its own: like a verb, it may be a sign of sentences.
 COMMA = re.compile(r"[,，、]$")
 #: Blank-separated words; each ideograph and kana is a word, with the marks after it.
@@ -271,9 +279,9 @@ def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
     beginnings, which is never deeper than a text has characters, and all of them are
     tried until one is similar. Of texts worded alike (their marks or case may differ)
     one with and one without a stop at the end stands for all, until it is found; then
-    each of them is tried. For copies that differ before the end, the ``NEAR``
-    rows on either side are tried. No more pairs than that arise, however many texts a
-    bucket has.
+    each of them is tried. Of copies that differ before the end, the ``NEAR`` rows on
+    either side are tried, so some are missed; no more pairs than that arise, however
+    many texts a bucket has. ``early_copies`` doesn't use it: ``aligned_copies`` meets all.
     """
     bucket, stack, last = None, [], deque(maxlen=NEAR)
     for band, key, new in rows:
@@ -311,43 +319,210 @@ def neighbours(rows: Iterator[tuple[int, str, Copy]]) -> Iterator[Copy]:
         last.append(new)
 
 
-def _pass(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
-    """(band, key, h, text, early) of the copies that end early and, with ``borders``, of a partition's first and last rows."""
-    names = ["band", "key", "h", "text", "early"]
-    first: list[tuple[int, str, Copy]] = []
-    recent: deque[tuple[int, str, Copy]] = deque(maxlen=NEAR)
-    open_rows: list[tuple[int, str, Copy]] = []
+def _hashes(found: Iterator[Copy]) -> Iterator[pa.RecordBatch]:
+    while some := [c.h for c in itertools.islice(found, 4096)]:
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64())], names=["h"])
 
-    def read() -> Iterator[tuple[int, str, Copy]]:
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def grams(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` numbers."""
+    s = np.full(max(len(ids) - k + 1, 0), k, np.uint64)
+    for j in range(k):
+        s = mix(s ^ ids[j : j + len(s)])
+    return s
+
+
+def tail(gram: int, last: str, stopped: bool) -> int:
+    """A hash of the words before a place, and of what the word there begins with."""
+    x = (gram ^ zlib.crc32(last.encode("utf-8", "surrogatepass")) ^ (stopped << 40)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 29)  # as in mix
+
+
+def may_be_debris(text: str) -> bool:
+    """Whether ``DEBRIS`` may match; it is slow to try on every text."""
+    end = text[-200:].rstrip()
+    return not end or end[-1] in ")]>\ufffd…" or end.endswith("...") or "\\" in end[-6:]
+
+
+class Ends:
+    """The texts of a batch as word numbers, one after another."""
+
+    def __init__(self, texts: list[str]):
+        self.raw = [words(DEBRIS.sub("", t).rstrip() if may_be_debris(t) else t) for t in texts]
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.fromiter((i for r in self.raw for i in word_ids(r)), np.uint64, int(self.sizes.sum()))
+        self.grams = {k: grams(self.ids, k) for k in range(1, ANCHOR + 1)}
+
+    def own(self, i: int) -> tuple[int, int, bool] | None:
+        """The hash of the anchor and of the tail by which another text must go on, and whether the text ends in a stop (see ``goes_on``)."""
+        raw, n = self.raw[i], int(self.sizes[i])
+        if n < 2:
+            return None
+        k = min(ANCHOR, n - 1)
+        gram = int(self.grams[k][self.starts[i] + n - 1 - k])
+        stopped = bool(STOPS.search(raw[-1]))
+        return gram, tail(gram, raw[-1].lower() if stopped else EDGE.sub("", raw[-1].lower()), stopped), stopped
+
+    def within_words(self, i: int) -> Iterator[int]:
+        """The tails of all texts that end in a stop which text ``i`` has within a word."""
+        for p, w in enumerate(self.raw[i] if STOP_INSIDE.search(" ".join(self.raw[i])) else ()):
+            if p and STOP_WITHIN.search(w):
+                low = w.lower()
+                begun = [low[:e] for e in range(1, len(low) + ("\u0307" in low)) if STOPS.search(low[:e])]  # a dotted i may take two characters
+                for k in range(1, min(ANCHOR, p) + 1) if begun else ():
+                    gram = int(self.grams[k][self.starts[i] + p - k])
+                    yield from (tail(gram, x, True) for x in begun)
+
+    def places(self, bits: np.ndarray, bands: list[list[int]]) -> Iterator[tuple[int, int]]:
+        """Text and tail, wherever a text goes on after an anchor and tail that ``bits`` may have."""
+        whose = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        per = np.array([len(x) for x in bands], np.int64)
+        flat, first = np.fromiter((x for y in bands for x in y), np.int64, int(per.sum())).view(np.uint64), np.cumsum(per) - per
+        for k, g in self.grams.items():
+            at = np.flatnonzero(has(bits, g))
+            at = at[at + k < len(whose)]
+            at = at[whose[at] == whose[at + k]]  # a run and the word after it lie in one text
+            many = np.repeat(at, per[whose[at]])
+            nth = np.arange(len(many)) - np.repeat(np.cumsum(per[whose[at]]) - per[whose[at]], per[whose[at]])
+            at = np.unique(many[has(bits, mix(g[many] ^ flat[first[whose[many]] + nth]))])
+            tails, texts = [], []
+            for a in at.tolist():
+                i = int(whose[a])
+                p = a + k - int(self.starts[i])
+                w, gram = self.raw[i][p], int(g[a])
+                word = EDGE.sub("", w.lower())
+                whole = p + 1 < len(self.raw[i]) and not STOPS.search(w)
+                for e in range(1 if word else 0, len(word) + whole):
+                    tails.append((gram ^ zlib.crc32(word[:e].encode("utf-8", "surrogatepass"))) & 0xFFFFFFFFFFFFFFFF)
+                    texts.append(i)
+            if tails:
+                t = mix(np.array(tails, np.uint64))
+                yield from ((texts[x], int(t[x])) for x in np.flatnonzero(has(bits, t)).tolist())
+
+
+def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _keyed(rows: list[tuple[int, int, bool, list[int], int, int | None]], bits: np.ndarray | None = None) -> pa.RecordBatch:
+    """(key, h, size, query, anchor, gram, tail): a row per band of a text and tail, of those that ``bits`` may have; the hashes for the bits on the first alone."""
+    per = np.array([len(r[3]) for r in rows], np.int64)
+    at = np.repeat(np.arange(len(rows)), per)
+    bands = np.fromiter((x for r in rows for x in r[3]), np.int64, int(per.sum())).view(np.uint64)
+    t, g = (np.array([r[c] or 0 for r in rows], np.uint64) for c in (4, 5))
+    key = mix(t[at] ^ bands)
+    if bits is not None:
+        met = has(bits, key)
+        at, key = at[met], key[met]
+    later = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, bool)
+    no_gram = np.array([r[5] is None for r in rows], bool)[at]
+    anchor = mix(g[at] ^ (bands if bits is None else bands[met]))
+    columns = [pa.array(key.view(np.int64)), *(pa.array([rows[x][c] for x in at.tolist()], kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_())))]
+    columns += [pa.array(x.view(np.int64), mask=m) for x, m in ((anchor, no_gram), (g[at], no_gram | later), (t[at], later))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "h", "size", "query", "anchor", "gram", "tail"])
+
+
+KEYED = "key bigint, h bigint, size bigint, query boolean, anchor bigint, gram bigint, tail bigint"
+
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tails that are fewer: of texts that end without a stop, and of places with a stop within a word."""
+    for b in batches:
+        h, text, bands = (b.column(c).to_pylist() for c in ("h", "text", "bands"))
+        ends, rows = Ends(text), []
+        for i in range(len(h)):
+            own = ends.own(i)
+            if own and not own[2]:
+                rows.append((h[i], len(text[i]), True, bands[i], own[1], own[0]))
+            rows += [(h[i], len(text[i]), False, bands[i], t, None) for t in set(ends.within_words(i))]
+        yield _keyed(rows)
+
+
+def _rest(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The tails that those of ``_fewer`` may meet: places within texts, and texts that end with a stop."""
+    for b in batches:
+        h, text, bands = (b.column(c).to_pylist() for c in ("h", "text", "bands"))
+        ends = Ends(text)
+        rows = [(h[i], len(text[i]), False, bands[i], t, None) for i, t in set(ends.places(bits, bands))]
+        closed = [(i, own[1]) for i in range(len(h)) if (own := ends.own(i)) and own[2]]
+        met = has(bits, np.array([t for _, t in closed], np.uint64))
+        rows += [(h[i], len(text[i]), True, bands[i], t, None) for (i, t), m in zip(closed, met) if m]
+        yield _keyed(rows, bits)
+
+
+def _met(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose keys ``bits`` may have."""
+    for b in batches:
+        yield b.filter(pa.array(has(bits, b.column("key").to_numpy().view(np.uint64))))
+
+
+def bits_of(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A set of hashes as ``BITS`` bits, a size that doesn't depend on the corpus; a place taken twice costs time, no result."""
+    slot = F.explode(F.array(*columns)).alias("x")
+    slots = rows.select(slot).filter("x IS NOT NULL").select(F.col("x").bitwiseAND(BITS - 1).alias("x")).select(F.shiftright("x", 15).alias("part"), F.col("x").bitwiseAND(32767).alias("bit"))
+    parts = slots.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((BITS >> 15, 4096), np.uint8)
+    for r in parts.collect():
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h) of the texts that end early, of rows sorted by cell (key, block, part), in each the texts whose end is sought before those that may go on."""
+
+    def found() -> Iterator[Copy]:
+        group, held = None, []
         for b in batches:
-            for band, key, h, text in zip(*(b.column(c).to_pylist() for c in names[:4])):
-                row = (band, key, Copy(h, text))
-                if len(first) < NEAR:
-                    first.append(row)
-                recent.append(row)
-                while open_rows and not (open_rows[-1][0] == band and key.startswith(open_rows[-1][1])):
-                    open_rows.pop()
-                if not open_rows or open_rows[-1][1] != key:
-                    open_rows.append(row)
-                yield row
-
-    def batch(rows: list[tuple], early: bool) -> pa.RecordBatch:
-        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2].h for r in rows], [r[2].text for r in rows], [early] * len(rows)]
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    found: list[tuple] = []
-    for copy in neighbours(read()):
-        found.append((0, "", Copy(copy.h, "")))
-        if len(found) >= 4096:
-            yield batch(found, True)
-            found = []
-    if found:
-        yield batch(found, True)
-    if borders:
-        edge = {id(r): r for r in (*first, *recent, *open_rows)}
-        if edge:
-            yield batch(list(edge.values()), False)
+            for *cell, query, h, text in zip(*(c.to_pylist() for c in b.columns)):
+                if cell != group:
+                    group, held = cell, []
+                if query:
+                    held.append(Copy(h, text))
+                elif held:
+                    new = Copy(h, text)
+                    for a in held:
+                        if a.h != h and goes_on(a, new) and similar(a, new):
+                            a.early = True
+                            yield a
+                    held = [a for a in held if not a.early]
+
+    yield from _hashes(found())
+
+
+def aligned_copies(texts: DataFrame) -> DataFrame:
+    """(h): of (h, text, bands) all texts with which a text of a bucket of theirs is similar and goes on.
+
+    All pairs are met that ``goes_on`` can accept, however many share a bucket and wherever
+    they differ: what it asks for is equal words before the last one (the anchor) and a word
+    there that begins with the last one. So texts are joined by band, anchor and last word
+    with the places of the others. To find the few places of interest, those that are fewer
+    are put into a set of bits first. The texts of a key that has many are split into blocks and
+    its places into parts, and each block meets each part.
+    """
+    fewer = durable(texts.mapInArrow(_fewer, KEYED), "tails")
+    bits = bits_of(fewer, "key", "anchor", "gram", "tail")
+    rest = durable(texts.mapInArrow(lambda it: _rest(it, bits), KEYED), "places")
+    own = bits_of(rest, "key")
+    columns = ["key", "h", "size", "query"]
+    met = fewer.select(*columns).mapInArrow(lambda it: _met(it, own), "key bigint, h bigint, size bigint, query boolean")
+    rows = met.unionByName(rest.select(*columns))
+    sized = [F.ceil(F.sum(F.when(c, F.col("size"))) / n).cast("int").alias(x) for c, n, x in ((F.col("query"), BLOCK, "blocks"), (~F.col("query"), PASSING, "parts"))]
+    per = rows.groupBy("key").agg(*sized, F.min("h").alias("lo"), F.max("h").alias("hi"))
+    both = rows.join(per.filter("blocks > 0 AND parts > 0 AND lo <> hi").select("key", "blocks", "parts"), "key")
+    one = lambda n: F.array(F.pmod(F.xxhash64("h"), n).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = both.withColumn("block", F.explode(F.when(F.col("query"), one("blocks")).otherwise(every("blocks"))))
+    both = block.withColumn("part", F.explode(F.when(F.col("query"), every("parts")).otherwise(one("parts"))))
+    placed = both.select("key", "block", "part", "h", "query").join(texts.select("h", "text"), "h")
+    cell = ["key", "block", "part"]
+    return placed.repartition(*cell).sortWithinPartitions(*cell, F.col("query").desc(), "h").select(*cell, "query", "h", "text").mapInArrow(_aligned, "h bigint")
 
 
 def _states(batches: Iterator[pa.RecordBatch], table: TerminalityTable) -> Iterator[pa.RecordBatch]:
@@ -373,31 +548,14 @@ def _states(batches: Iterator[pa.RecordBatch], table: TerminalityTable) -> Itera
 def early_copies(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """(h): hashes of texts whose alignment with a near-copy ends early, while the copy goes on.
 
-    Exact copies fall together in the aggregation. The texts of a bucket are sorted by
-    wording and aligned with those that continue them and with their neighbours (see
-    ``neighbours``), so as many pairs arise as texts, however many share a bucket, and
-    the order is by ranges: a bucket with a third of all texts spreads over as many
-    tasks as its size asks for. The first and the last rows of each range, a few per
-    partition, are aligned with each other in a second pass.
+    Exact copies fall together in the aggregation. Texts of a bucket are joined with all
+    places of the others at which one may go on (see ``aligned_copies``).
     """
-    keyed = marked.filter(F.size("bands") > 0).select("h", F.posexplode("bands").alias("n", "band"))
+    keyed = marked.filter(F.size("bands") > 0).select("h", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("band")
-    members = durable(keyed.join(shared, "band").distinct(), "members")
-    needed = members.select("h").distinct()
-    kept = texts.join(needed, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
-
-    def keys(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for n, text in batches:
-            yield pa.array([Copy(0, t).key(STARTS[i % len(STARTS)]) for i, t in zip(n.to_pylist(), text.to_pylist())], pa.string())
-
-    rows = members.join(kept, "h").select("band", F.arrow_udf(keys, "string")("n", "text").alias("key"), "h", "text")
-    rows = durable(rows, "buckets")
-    order, schema = ["band", "key", "h"], "band bigint, key string, h bigint, text string, early boolean"
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = durable(sorted_rows.mapInArrow(lambda it: _pass(it, True), schema), "early")
-    edges = found.filter("NOT early").drop("early").coalesce(1).sortWithinPartitions(*order)
-    across = edges.mapInArrow(lambda it: _pass(it, False), schema)
-    return found.filter("early").select("h").unionByName(across.select("h")).distinct()
+    needed = durable(keyed.join(shared, "band").groupBy("h").agg(F.collect_set("band").alias("bands")), "members")
+    kept = texts.join(needed.select("h"), "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
+    return aligned_copies(durable(kept.join(needed, "h"), "kept")).distinct()
 
 
 def marked_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:

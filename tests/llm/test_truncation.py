@@ -149,3 +149,48 @@ def test_clauses_are_told_from_phrases(spark):
     table = truncation.terminality(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert table.whole("the man near the table") and not table.whole("because the man near the table") and not table.whole("the man near the")
     assert not table.whole("the man near the tab")
+
+
+def brute_force(texts):
+    """Of texts in one bucket those with which another is similar and goes on, pair by pair."""
+    copies = [truncation.Copy(i, t) for i, t in enumerate(texts)]
+    return {a.text for a in copies if any(a.text != b.text and truncation.goes_on(a, b) and truncation.similar(a, b) for b in copies)}
+
+
+def scattered(rng, pairs=300):
+    """One template; each cut text goes on in one other alone, whose early words differ, so that it lies far off in the bucket's order."""
+    base, texts, cut = [f"word{i}" for i in range(60)], [], []
+    for i in range(pairs):
+        a, b = list(base), list(base)
+        a[1], b[1] = f"aa{rng.randrange(10**9)}", f"zz{rng.randrange(10**9)}"
+        cut.append(" ".join([*a, f"own{i:04d}"[:6]] if i % 3 else [*a, f"{i}."]))
+        texts += [cut[-1], " ".join([*b, f"own{i:04d}x and more" if i % 3 else f"{i}.25 metres"])]
+    return texts, cut
+
+
+def same_bucket(spark, texts, partitions):
+    h = {t: i for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(i, t) for t, i in h.items()], "h bigint, text string").repartition(partitions)
+    marked = df.select("h", F.expr("array(7L)").alias("bands"))
+    return {texts[r["h"]] for r in truncation.early_copies(marked, df).collect()}
+
+
+def test_partners_far_off_in_the_order_of_a_bucket_are_found(spark, monkeypatch):
+    """All texts share one bucket; far more than the neighbours lie between a cut text and the one that goes on."""
+    texts, cut = scattered(random.Random(11))
+    want = brute_force(texts)
+    assert want == set(cut)
+    assert same_bucket(spark, texts, 5) == want
+    monkeypatch.setattr(truncation, "BLOCK", 2000)
+    monkeypatch.setattr(truncation, "PASSING", 3000)
+    assert same_bucket(spark, texts, 5) == want
+
+
+def test_every_end_is_met_as_pair_by_pair(spark):
+    """Odd ends: marks for words, decimals, few words besides what a cut leaves, dotted capitals, words of one bucket in many orders."""
+    rng = random.Random(12)
+    lead = [" ".join(f"w{x}" if rng.random() < 0.04 else f"word{x}" for x in range(40)) for _ in range(60)]
+    ends = ["", " -", " - so", " 3.", " 3.14 m", " No.", " No.7", " word", " wordy it", " wordy.", " words of", " of", " of it", ' "of', ' "office" b', " İ.", " İ.x", " 是", " 是的", " a…", " a b", " (truncated)", " x." , " x.) y", ' x.)"y']
+    texts = sorted({f"{a}{rng.choice(ends)}" for a in lead for _ in range(6)} | {"so it [...] [...] [...] [...]", "so it is now and so it [...] [...]", "one two [cut] [cut] [cut] [cut]"})
+    want = brute_force(texts)
+    assert len(want) > 30 and same_bucket(spark, texts, 3) == want
